@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import as_text, read_table
+from quarry.llm.common import as_text, carried, read_table, restored
 
 #: Characters after which a text is cut at the next safe boundary.
 PIECE = 1 << 16
@@ -80,7 +80,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             yield pd.DataFrame({"i": b["i"], "ids": [encode(as_text(t), path) for t in b["t"]]})
 
-    return _two(docs, id_col, text_col).mapInPandas(run, f"i {_type(docs, id_col)}, ids array<int>").withColumnRenamed("i", id_col)
+    return restored(_two(docs, id_col, text_col).mapInPandas(run, "i string, ids array<int>"), docs, id_col)
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -90,7 +90,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
         for b in batches:
             yield pd.DataFrame({"i": b["i"], "bytes": [decode(list(x) if x is not None else [], path) for x in b["t"]]})
 
-    return _two(encoded, id_col, ids_col).mapInPandas(run, f"i {_type(encoded, id_col)}, bytes binary").withColumnRenamed("i", id_col)
+    return restored(_two(encoded, id_col, ids_col).mapInPandas(run, "i string, bytes binary"), encoded, id_col)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -106,15 +106,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({"i": b["i"], "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": list(a), "decoded_sha256": list(d)})
 
-    return _two(docs, id_col, text_col).mapInPandas(run, f"i {_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("i", id_col)
+    return restored(_two(docs, id_col, text_col).mapInPandas(run, "i string, n_tokens long, ids_sha256 string, decoded_sha256 string"), docs, id_col)
 
 
 def _two(df: DataFrame, id_col: str, col: str) -> DataFrame:
-    return df.select(df[id_col].alias("i"), df[col].alias("t"))
-
-
-def _type(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()
+    return df.select(carried(df, id_col), df[col].alias("t"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

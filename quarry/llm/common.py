@@ -39,6 +39,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def carried(df: DataFrame, col: str) -> Column:
+    """A column as text named i: pandas would turn integers with nulls into floats."""
+    return df[col].cast("string").alias("i")
+
+
+def restored(out: DataFrame, df: DataFrame, col: str) -> DataFrame:
+    """``out`` with the carried column under its own name and type again."""
+    return out.withColumn("i", F.col("i").cast(df.schema[col].dataType)).withColumnRenamed("i", col)
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 

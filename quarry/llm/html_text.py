@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import as_text, read_table
+from quarry.llm.common import as_text, carried, read_table, restored
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[A-Za-z/][^>]*\Z|<[!?/][^>]*>?|[^<]+|<", re.S)
 _RAW = frozenset(("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"))
@@ -260,9 +260,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             texts = [extract(as_text(t)) for t in b["t"]]
             yield pd.DataFrame({"i": b["i"], "u": b["u"], "text": texts, "n_chars": pd.Series([len(t) for t in texts], dtype="int64")})
 
-    flat = pages.select(pages[id_col].alias("i"), pages[url_col].alias("u"), pages[html_col].alias("t"))
-    kinds = [f.dataType.simpleString() for f in flat.schema.fields[:2]]
-    return flat.mapInPandas(run, f"i {kinds[0]}, u {kinds[1]}, text string, n_chars long").withColumnsRenamed({"i": id_col, "u": url_col})
+    flat = pages.select(carried(pages, id_col), pages[url_col].cast("string").alias("u"), pages[html_col].alias("t"))
+    return restored(flat.mapInPandas(run, "i string, u string, text string, n_chars long"), pages, id_col).withColumnRenamed("u", url_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

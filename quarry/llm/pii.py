@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm.common import as_text, read_table
+from quarry.llm.common import as_text, carried, read_table, restored
 
 #: Fixed values of the query's contract: kinds, in their order, and patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -310,12 +311,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             out.insert(0, "i", batch["i"].to_numpy())
             yield out
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInPandas(run, f"i {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("i", id_col)
+    flat = docs.select(carried(docs, id_col), docs[text_col].alias("t"))
+    return restored(flat.mapInPandas(run, "i string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"), docs, id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with personal data masked; nulls stay null."""
+    """The same rows and columns with personal data masked; nulls stay null. Other columns must be of simple types."""
     w, i = weights(), docs.columns.index(text_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -324,8 +325,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield batch
 
     names = [f"c{k}" for k in range(len(docs.columns))]
-    flat = docs.toDF(*names).select(names[i], *(n for k, n in enumerate(names) if k != i))
-    return flat.mapInPandas(run, flat.schema).select(*names).toDF(*docs.columns)
+    kinds = [f.dataType for f in docs.schema]
+    flat = docs.toDF(*names).select(names[i], *(F.col(n).cast("string").alias(n) for k, n in enumerate(names) if k != i))
+    return flat.mapInPandas(run, flat.schema).select(*(F.col(n).cast(k).alias(n) for n, k in zip(names, kinds, strict=True))).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

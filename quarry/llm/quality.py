@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, missing, read_table
+from quarry.llm.common import carried, cut, missing, read_table, restored
 
 MIN_TEXTS = 20
 SHARE = 0.02
@@ -91,9 +91,8 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
     """(id, host key, text hash, measures, base_failed, removed_words, kept), one row for each row of ``docs``."""
     host = F.coalesce(F.concat(F.lit("s"), docs[host_col].cast("string")), F.lit("n"))
-    rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), host.alias("host"), F.xxhash64(docs[text_col]).alias("th"))
-    kind = rows.schema["i"].dataType.simpleString()
-    base = cut(rows.mapInPandas(_described, f"i {kind}, host string, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, h array<long>, w array<long>")).withColumn("rid", F.monotonically_increasing_id())
+    rows = docs.select(carried(docs, id_col), docs[text_col].alias("t"), host.alias("host"), F.xxhash64(docs[text_col]).alias("th"))
+    base = cut(rows.mapInPandas(_described, "i string, host string, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, h array<long>, w array<long>")).withColumn("rid", F.monotonically_increasing_id())
     lines = base.select("rid", "host", "th", F.explode(F.arrays_zip("h", "w")).alias("x")).select("rid", "host", "th", F.col("x.h").alias("line"), F.col("x.w").alias("words"))
     limit = base.groupBy("host").agg(F.greatest(F.lit(float(min_texts)), F.count_distinct("th") * F.lit(share)).alias("limit"))
     # A line found in no more than min_texts texts is under every host's limit: the host join sees few lines.
@@ -103,7 +102,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     out = base.drop("h", "w").join(removed, "rid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     depleted = 2 * F.col("removed_words") > F.col("n_words")
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted).withColumnRenamed("i", id_col)
+    return restored(out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted), docs, id_col)
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe_codec, html_text, mixing, pii, quality, token_counts, url_filter
+from quarry.llm import bpe_codec, html_text, imatch, mixing, pii, quality, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text.query,
+    "op2_imatch": imatch.query,
     "op3_token_counts": token_counts.query,
     "op4_line_quality": quality.query,
+    "op6_toxicity": toxicity.query,
     "op7_source_mixing": mixing.query,
     "op8_personal_data": pii.query,
     "op9_bpe_codec": bpe_codec.query,

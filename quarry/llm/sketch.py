@@ -64,7 +64,7 @@ def frequencies(docs: DataFrame, text_col: str, sets: Callable[[list[object]], l
 def collected(table: DataFrame) -> tuple[int, np.ndarray]:
     """(rows, counters): at most 2**BITS numbers come to the driver, whatever the input."""
     out, n = np.zeros(1 << BITS, dtype=np.uint64), 0
-    for r in table.toLocalIterator():
+    for r in table.collect():  # 2**BITS / SEGMENT rows at most
         out[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(zlib.decompress(r.counts), dtype="<u8")
         n += r.docs
     return n, out

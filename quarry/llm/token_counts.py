@@ -23,7 +23,7 @@ from heapq import heapify, heappop, heappush
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import as_text, read_table
+from quarry.llm.common import as_text, carried, read_table, restored
 
 LIMIT = 4096
 #: Segments that a worker remembers before it forgets them all, and the length of the longest remembered.
@@ -132,8 +132,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n = pd.Series([c.count(t) for t in texts], dtype="int64")
             yield pd.DataFrame({"i": b["i"], "n_bytes": pd.Series([len(t.encode("utf-8", "replace")) for t in texts], dtype="int64"), "n_tokens": n, "over_limit": n > limit})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInPandas(run, f"i {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("i", id_col)
+    flat = docs.select(carried(docs, id_col), docs[text_col].alias("t"))
+    return restored(flat.mapInPandas(run, "i string, n_bytes long, n_tokens long, over_limit boolean"), docs, id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
