@@ -154,7 +154,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
                 out[lo + i] = np.unique(rolled[a : b - k + 1])
             elif b > a:
                 short = words[a:b] * coef[: b - a]
-                out[lo + i] = mix64(np.array([short.sum(dtype=np.uint64) + np.uint64(b - a) * _MULT], dtype=np.uint64))
+                out[lo + i] = mix64(np.array([(int(short.sum(dtype=np.uint64)) + int(b - a) * int(_MULT)) % (1 << 64)], dtype=np.uint64))
     return out
 
 
