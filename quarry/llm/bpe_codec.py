@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
@@ -93,20 +94,24 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
     return restored(_two(encoded, id_col, ids_col).mapInPandas(run, "i string, bytes binary"), encoded, id_col)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Encode, decode the ids again, and keep counts and digests: ids never leave the worker."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode, decode the ids again, and keep counts and digests, and on demand the ids (array<int>)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digits = encoder(path or rank_file())[2]
         for b in batches:
-            rows = []
+            rows, kept = [], []
             for t in b["t"]:
                 ids = encode(as_text(t), path)
                 rows.append((len(ids), hashlib.sha256(b",".join(map(digits.__getitem__, ids))).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()))
-            n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"i": b["i"], "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": list(a), "decoded_sha256": list(d)})
-
-    return restored(_two(docs, id_col, text_col).mapInPandas(run, "i string, n_tokens long, ids_sha256 string, decoded_sha256 string"), docs, id_col)
+                if with_ids:
+                    kept.append(np.array(ids, dtype=np.int32))
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            out.insert(0, "i", b["i"].to_numpy())
+            yield out.assign(ids=kept) if with_ids else out
+
+    fields = "i string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return restored(_two(docs, id_col, text_col).mapInPandas(run, fields), docs, id_col)
 
 
 def _two(df: DataFrame, id_col: str, col: str) -> DataFrame:
