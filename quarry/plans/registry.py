@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import relational
+from quarry.plans import changes, relational
 
-MODULES = (relational,)
+MODULES = (relational, changes)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
