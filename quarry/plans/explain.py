@@ -170,7 +170,6 @@ def statistics(nodes: DataFrame) -> DataFrame:
 
 
 # Thresholds, severities and divisors of the rules.
-_EST, _ACT, _COST = F.lit("est_rows"), F.lit("act_rows"), F.lit("total_cost")
 
 
 def _rules(nodes: DataFrame, rules: list[tuple[str, str, Column, Column]]) -> DataFrame:
