@@ -12,8 +12,9 @@ when 100 * intersection >= 75 * union. Equal sets are one class, and only classe
 
 A list of up to ``PAIRS`` classes gives its pairs. A longer one gives a star (each class with a pivot) first; when
 the links of all stars are known, only members that are still in different components are paired. So a group of
-many near copies costs its size, not its square, and no link between different components is left out. Each
-candidate is then checked on the whole sets: texts of candidates travel once for each star, split by ``SALT``.
+many near copies costs its size, not its square, and no link between different components is left out. Candidates
+whose parity maps (about a bit for each shingle) show more differences than linked sets may have are dropped; the
+rest are checked on the whole sets: their texts travel once for each star, split by ``SALT``.
 
 Scale: what moves is 20 bytes for each prefix entry (about a quarter of a text's words) in packed blocks, the texts
 of candidates, and small rows. The frequency table (4 MB) and a filter of candidate texts (2 MB) are all that is
@@ -82,6 +83,58 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * common >= NUM * (len(a) + len(b) - common)
 
 
+def width(size: int) -> int:
+    """Bits of a set's parity map: the power of two from its size on, 64 at least."""
+    return max(64, 1 << (size - 1).bit_length())
+
+
+def parity_map(members: np.ndarray) -> bytes:
+    """Bit k: whether an odd number of members fall on k. Two maps differ in no more bits than their sets in members,
+    so a pair whose maps differ in more than linked sets may is out for certain."""
+    if not len(members):
+        return b""
+    bits = np.bincount((members & np.uint64(width(len(members)) - 1)).astype(np.int64), minlength=width(len(members))) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Members that linked sets of these sizes may differ in."""
+    total = a.astype(np.int64) + b.astype(np.int64)
+    return total - 2 * (-(-NUM * total // (NUM + DEN)))
+
+
+class Maps:
+    """Parity maps of several sets, compared at the narrower width of a pair."""
+
+    def __init__(self, maps: list[bytes], sizes: np.ndarray):
+        self.sizes = sizes
+        self.widths = np.array([8 * len(m) for m in maps], dtype=np.int64)
+        self.at = np.zeros(len(maps), dtype=np.int64)
+        self.own: dict[int, np.ndarray] = {}
+        self.half: dict[int, np.ndarray] = {}
+        for w in np.unique(self.widths):
+            which = np.flatnonzero(self.widths == w)
+            m = np.frombuffer(b"".join(maps[k] for k in which), dtype=np.uint64).reshape(len(which), w // 64)
+            self.at[which] = np.arange(len(which))
+            self.own[int(w)] = m
+            if w > 64:
+                self.half[int(w)] = m[:, : w // 128] ^ m[:, w // 128 :]
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether pairs (x[k], y[k]) of indices may be linked, by sizes and maps."""
+        ok = _fits(self.sizes[x], self.sizes[y])
+        most = most_apart(self.sizes[x], self.sizes[y])
+        wx, wy = self.widths[x], self.widths[y]
+        for a in np.unique(wx[ok]).tolist():
+            for b in (a // 2, a, 2 * a):
+                k = np.flatnonzero(ok & (wx == a) & (wy == b))
+                if len(k):
+                    m = (self.half if a > b else self.own)[a][self.at[x[k]]]
+                    n = (self.half if b > a else self.own)[b][self.at[y[k]]]
+                    ok[k] = np.bitwise_count(m ^ n).sum(axis=1, dtype=np.int64) <= most[k]
+        return ok
+
+
 def subsets(size: int) -> list[np.ndarray]:
     """Index matrices of the subsets that a light set of this size enumerates, by subset size."""
     return [np.array(list(itertools.combinations(range(size), c)), dtype=np.int64) for c in range(least(size), size + 1)]
@@ -116,7 +169,7 @@ def heavy_keys(members: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         sets = sets_of(list(b["t"]))
-        yield pd.DataFrame({"i": b["i"], "th": b["th"], "n": pd.Series([len(s) for s in sets], dtype="int64"), "c": pd.Series([class_id(s) for s in sets], dtype="int64")})
+        yield pd.DataFrame({"i": b["i"], "th": b["th"], "n": pd.Series([len(s) for s in sets], dtype="int64"), "c": pd.Series([class_id(s) for s in sets], dtype="int64"), "map": [parity_map(s) for s in sets]})
 
 
 def _entries(docs: DataFrame, rank, light: int, blocks: int) -> DataFrame:
@@ -229,23 +282,33 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a long list's members that are in different components."""
+    """Pairs of a long list's members that are in different components and may be linked."""
     for d in batches:
-        for cs, ss, ls in zip(d["cs"], d["ss"], d["ls"], strict=True):
+        for cs, ss, ls, ms in zip(d["cs"], d["ss"], d["ls"], d["ms"], strict=True):
             order = np.argsort(ls, kind="stable")
-            c, s, comp = np.asarray(cs)[order], np.asarray(ss)[order], np.asarray(ls)[order]
+            c, comp = np.asarray(cs)[order], np.asarray(ls)[order]
+            maps = Maps([ms[k] for k in order], np.asarray(ss, dtype=np.int64)[order])
             after = np.searchsorted(comp, comp, side="right")
             low, high, held = [], [], 0
             for x in range(len(c)):
-                ok = np.flatnonzero(_fits(s[after[x] :], np.full(len(s) - after[x], s[x]))) + after[x]
-                low.append(np.minimum(c[ok], c[x]))
-                high.append(np.maximum(c[ok], c[x]))
-                held += len(ok)
+                y = np.arange(after[x], len(c))
+                y = y[maps.may_link(np.full(len(y), x), y)]
+                low.append(np.minimum(c[y], c[x]))
+                high.append(np.maximum(c[y], c[x]))
+                held += len(y)
                 if held and (held > 200_000 or x == len(c) - 1):
                     yield pd.DataFrame({"a": np.concatenate(low), "b": np.concatenate(high)})
                     low, high, held = [], [], 0
 
 
+def _plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of candidate pairs with sizes and maps those that may be linked."""
+    for d in batches:
+        n = len(d)
+        maps = Maps([*d["ma"], *d["mb"]], np.concatenate([d["na"].to_numpy(), d["nb"].to_numpy()]))
+        yield d.loc[maps.may_link(np.arange(n), np.arange(n) + n), ["a", "b"]]
+
+
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Linked pairs of sorted rows (a, salt, role, b, text): role 0 is the pivot's own text."""
     owner, members = None, np.empty(0, dtype=np.uint64)
@@ -263,6 +326,8 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are linked, on the whole texts of one document of each class."""
     spark = docs.sparkSession
+    left, right = (reps.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}")) for x in "ab")
+    pairs = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInPandas(_plausible, "a long, b long"))
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALT)).alias("parts"))
     salted = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
     places = salted.select("a", "salt", F.lit(1).alias("role"), "b").unionByName(salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b")))
@@ -302,7 +367,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     flat = docs.select(carried(docs, id_col), docs[text_col].alias("t"), F.xxhash64(docs[text_col]).alias("th"))
     kind = docs.schema[id_col].dataType
-    ids = cut(flat.mapInPandas(_measure, "i string, th long, n long, c long"))
+    ids = cut(flat.mapInPandas(_measure, "i string, th long, n long, c long, map binary"))
     rows, counts = sketch.collected(sketch.frequencies(docs, text_col, sets_of))
     total = float(counts.sum())
     spread = 4 * total / len(counts) + 8
@@ -313,13 +378,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total / 4 + rows) * 20 / PART_BYTES))
     entries = _entries(flat, spark.sparkContext.broadcast(rank.tobytes()), light, 8 * parts)
     scanned = cut(entries.repartition(parts, "block").mapInPandas(_scan, "run long, a binary, b binary"))
-    reps = cut(ids.where("n > 0").groupBy("c").agg(F.min(F.struct("i", "th")).alias("r")).select("c", "r.i", "r.th"))
+    reps = cut(ids.where("n > 0").groupBy("c").agg(F.min(F.struct("i", "th")).alias("r"), F.first("n").alias("n"), F.first("map").alias("map")).select("c", "r.i", "r.th", "n", "map"))
     first = cut(_verify(flat, reps, scanned.where("run is null").mapInPandas(_unpack, "a long, b long").distinct()).distinct())
     labels = components(first)
     runs = scanned.where("run is not null").groupBy("run").agg(F.first("a").alias("a"), F.first("b").alias("b"))
     members = runs.mapInPandas(_members, "run long, c long, s long").join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "c", "s", F.coalesce("comp", "c").alias("l"))
-    mixed = members.groupBy("run").agg(F.min("l").alias("x"), F.max("l").alias("y"), F.collect_list(F.struct("c", "s", "l")).alias("m")).where("x <> y")
-    rest = cut(mixed.select(F.col("m.c").alias("cs"), F.col("m.s").alias("ss"), F.col("m.l").alias("ls")).mapInPandas(_across, "a long, b long").distinct())
+    # Most long lists lie within one component by now; only the others are gathered.
+    mixed = members.join(members.groupBy("run").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("run"), "run", "left_semi")
+    lists = mixed.join(reps.select("c", "map"), "c").groupBy("run").agg(F.collect_list(F.struct("c", "s", "l", "map")).alias("m"))
+    rest = cut(lists.select(F.col("m.c").alias("cs"), F.col("m.s").alias("ss"), F.col("m.l").alias("ls"), F.col("m.map").alias("ms")).mapInPandas(_across, "a long, b long").distinct())
     if not rest.isEmpty():
         second = _verify(flat, reps, rest)
         up = labels.withColumnRenamed("node", "a").withColumnRenamed("comp", "ca")
