@@ -139,3 +139,14 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, [1, 2])], "a int, b array<int>")
     sinks.write(df, f"file://{tmp_path}/c", "csv")
     assert spark.read.csv(f"file://{tmp_path}/c", header=True).first().b == "[1,2]" and "|  a|" in sinks.as_table(df)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarry.__main__ import main
+
+    assert main(["--sql", "SELECT * FROM t", "--dialect", "mysql"]) == 0
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["analysis"]["query_type"] == "SELECT" and {s["type"] for s in out["suggestions"]} == {"SELECT_STAR", "MISSING_WHERE", "OVERPRIVILEGED_SELECT"}
+    (tmp_path / "a.log").write_text("2024-01-01 10:30:45.123 SQL:BatchCompleted SELECT 1 Duration: 150 ms CPU: 75 ms Reads: 1 Writes: 0\n")
+    assert main(["--log", f"file://{tmp_path}/a.log", "--output", "csv"]) == 0
+    assert "SELECT,1" in capsys.readouterr().out
