@@ -10,10 +10,10 @@ when 100 * intersection >= 75 * union. Equal sets are one class, and only classe
   The order comes from a hashed table of fixed size; any order gives the same links.
 * The boundary is chosen by cost: subsets of a size against prefix entries times the mean list they meet.
 
-A list of up to ``PAIRS`` classes gives its pairs. A longer one gives a star (each class with a pivot) first; when
+A list of up to ``PAIRS`` classes gives its pairs. A longer one gives stars (classes with a pivot) first; when
 the links of all stars are known, only members that are still in different components are paired. So a group of
 many near copies costs its size, not its square, and no link between different components is left out. Candidates
-whose parity maps (about a bit for each shingle) show more differences than linked sets may have are dropped; the
+whose parity maps (two to four bits for each shingle) show more differences than linked sets may have are dropped; the
 rest are checked on the whole sets: their texts travel once for each star, split by ``SALT``.
 
 Scale: what moves is 20 bytes for each prefix entry (about a quarter of a text's words) in packed blocks, the texts
@@ -84,8 +84,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def width(size: int) -> int:
-    """Bits of a set's parity map: the power of two from its size on, 64 at least."""
-    return max(64, 1 << (size - 1).bit_length())
+    """Bits of a set's parity map: the power of two from twice its size on, 64 at least."""
+    return max(64, 1 << (2 * size - 1).bit_length())
 
 
 def parity_map(members: np.ndarray) -> bytes:
@@ -228,7 +228,7 @@ def _unique_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lists of a partition's keys: pairs and stars (run null), and the members of long lists."""
+    """Lists of a partition's keys: pairs of short ones (run null), and the members of long ones."""
     got = [(k, c, s) for b in batches for k, c, s in zip(b["k"], b["c"], b["s"], strict=True)]
     if not got:
         return
@@ -251,13 +251,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pairs.append((c[at + x][ok], c[at + y][ok]))
     runs: dict[int, tuple[bytes, bytes]] = {}
     for a, m in zip(starts[sizes > PAIRS], sizes[sizes > PAIRS], strict=True):
-        cs, ss = c[a : a + m], s[a : a + m]
-        near = _fits(ss, np.full(m, np.sort(ss)[m // 2]))
-        pivot = int(np.flatnonzero(near)[0])  # classes are sorted: the smallest near the median size
-        ok = _fits(ss, np.full(m, ss[pivot]))
-        ok[pivot] = False
-        pairs.append((np.full(int(ok.sum()), cs[pivot]), cs[ok]))
-        runs[int.from_bytes(hashlib.blake2b(cs.tobytes(), digest_size=8).digest(), "little", signed=True)] = (cs.tobytes(), ss.tobytes())
+        cs = c[a : a + m].tobytes()
+        runs[int.from_bytes(hashlib.blake2b(cs, digest_size=8).digest(), "little", signed=True)] = (cs, s[a : a + m].tobytes())
     if pairs:
         a, b = _unique_pairs(pairs)
         for lo in range(0, len(a), 1 << 20):
@@ -281,6 +276,44 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"run": np.full(len(c), r, dtype=np.int64), "c": c, "s": np.frombuffer(b, dtype=np.uint32).astype(np.int64)})
 
 
+def pivot_of(maps: Maps, among: np.ndarray) -> int:
+    """A member in the middle of those given: of the commonest width, the nearest to the majority of (up to 256 of)
+    their maps. Copies of one text choose their original or its nearest copy, in each of their lists the same."""
+    widths, n = np.unique(maps.widths[among], return_counts=True)
+    w = int(widths[np.argmax(n)])
+    mine = among[maps.widths[among] == w]
+    own = maps.own[w][maps.at[mine]]
+    some = own[:: max(1, len(own) // 256)][:256]
+    votes = np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    middle = np.packbits((2 * votes > len(some)).astype(np.uint8), bitorder="little").view(np.uint64)
+    return int(mine[np.argmin(np.bitwise_count(own ^ middle).sum(axis=1, dtype=np.int64))])
+
+
+#: Stars that a long list gives at most before its other members wait for the comparison of components.
+STARS = 8
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of a long list's pivots with the members that may be linked to them."""
+    for d in batches:
+        for cs, ss, ms in zip(d["cs"], d["ss"], d["ms"], strict=True):
+            order = np.argsort(cs, kind="stable")
+            c = np.asarray(cs)[order]
+            maps = Maps([ms[k] for k in order], np.asarray(ss, dtype=np.int64)[order])
+            left = np.arange(len(c))
+            out = []
+            for _ in range(STARS):
+                if len(left) < 2:
+                    break
+                pivot = pivot_of(maps, left)
+                left = left[left != pivot]
+                near = maps.may_link(np.full(len(left), pivot), left)
+                out.append(pd.DataFrame({"a": np.full(int(near.sum()), c[pivot]), "b": c[left[near]]}))
+                left = left[~near]
+            if out:
+                yield pd.concat(out)
+
+
 def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of a long list's members that are in different components and may be linked."""
     for d in batches:
@@ -379,13 +412,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     entries = _entries(flat, spark.sparkContext.broadcast(rank.tobytes()), light, 8 * parts)
     scanned = cut(entries.repartition(parts, "block").mapInPandas(_scan, "run long, a binary, b binary"))
     reps = cut(ids.where("n > 0").groupBy("c").agg(F.min(F.struct("i", "th")).alias("r"), F.first("n").alias("n"), F.first("map").alias("map")).select("c", "r.i", "r.th", "n", "map"))
-    first = cut(_verify(flat, reps, scanned.where("run is null").mapInPandas(_unpack, "a long, b long").distinct()).distinct())
-    labels = components(first)
+    short = scanned.where("run is null").mapInPandas(_unpack, "a long, b long")
     runs = scanned.where("run is not null").groupBy("run").agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    members = runs.mapInPandas(_members, "run long, c long, s long").join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "c", "s", F.coalesce("comp", "c").alias("l"))
-    # Most long lists lie within one component by now; only the others are gathered.
-    mixed = members.join(members.groupBy("run").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("run"), "run", "left_semi")
-    lists = mixed.join(reps.select("c", "map"), "c").groupBy("run").agg(F.collect_list(F.struct("c", "s", "l", "map")).alias("m"))
+    members = cut(runs.mapInPandas(_members, "run long, c long, s long"))
+    maps = reps.select("c", "map")
+    lists = members.join(maps, "c").groupBy("run").agg(F.collect_list(F.struct("c", "s", "map")).alias("m"))
+    stars = lists.select(F.col("m.c").alias("cs"), F.col("m.s").alias("ss"), F.col("m.map").alias("ms")).mapInPandas(_stars, "a long, b long")
+    first = cut(_verify(flat, reps, short.unionByName(stars).distinct()).distinct())
+    labels = components(first)
+    labelled = members.join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "c", "s", F.coalesce("comp", "c").alias("l"))
+    # Most long lists lie within one component by now; only the others are gathered again.
+    mixed = labelled.join(labelled.groupBy("run").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("run"), "run", "left_semi")
+    lists = mixed.join(maps, "c").groupBy("run").agg(F.collect_list(F.struct("c", "s", "l", "map")).alias("m"))
     rest = cut(lists.select(F.col("m.c").alias("cs"), F.col("m.s").alias("ss"), F.col("m.l").alias("ls"), F.col("m.map").alias("ms")).mapInPandas(_across, "a long, b long").distinct())
     if not rest.isEmpty():
         second = _verify(flat, reps, rest)
