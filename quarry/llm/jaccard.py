@@ -48,7 +48,7 @@ NUM, DEN = 75, 100
 #: The largest boundary between light and heavy sets that is considered.
 MOST_LIGHT = 12
 #: A list of up to so many classes gives all its pairs.
-PAIRS = 3
+PAIRS = 8
 #: Texts that are checked against one copy of a pivot's text.
 SALT = 256
 #: Bytes of entries in a block's partition, entries held by a task before it hands blocks on.
@@ -152,6 +152,13 @@ def boundary(sizes: dict[int, int], mean_list: float) -> int:
     return best
 
 
+def frequency_ranks(counts: np.ndarray) -> np.ndarray:
+    """Classes of the hashed table's slots: 0 up to what chance puts into a slot, then two for each doubling."""
+    mean = counts.sum() / len(counts)
+    usual = mean + 3 * math.sqrt(mean) + 2
+    return np.where(counts > usual, 1 + np.floor(2 * np.log2(np.maximum(counts / usual, 1))), 0).astype(np.uint8)
+
+
 def light_keys(members: np.ndarray, tables: dict[int, list[np.ndarray]]) -> np.ndarray:
     value = mix64(members ^ _LIGHT)
     return np.concatenate([mix64(value[m].sum(axis=1, dtype=np.uint64) + np.uint64(m.shape[1] * int(_LIGHT) % (1 << 64))) for m in tables[len(members)]])
@@ -291,27 +298,44 @@ def pivot_of(maps: Maps, among: np.ndarray) -> int:
 
 #: Stars that a long list gives at most before its other members wait for the comparison of components.
 STARS = 8
+#: Members up to which all pairs of a list are looked at on their maps (not handed on).
+LOOK = 64
 
 
 def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a long list's pivots with the members that may be linked to them."""
+    """Pairs of a long list's pivots with the members that may be linked to them (run null); and the runs (pair null)
+    that may hold other links: lists over LOOK, and those with such a pair besides the stars."""
     for d in batches:
-        for cs, ss, ms in zip(d["cs"], d["ss"], d["ms"], strict=True):
+        alive, low, high = [], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for run, cs, ss, ms in zip(d["run"], d["cs"], d["ss"], d["ms"], strict=True):
             order = np.argsort(cs, kind="stable")
             c = np.asarray(cs)[order]
             maps = Maps([ms[k] for k in order], np.asarray(ss, dtype=np.int64)[order])
-            left = np.arange(len(c))
-            out = []
+            some = None
+            if len(c) <= LOOK:
+                x, y = np.triu_indices(len(c), 1)
+                some = int(maps.may_link(x, y).sum())
+                if not some:
+                    continue
+            left, starred = np.arange(len(c)), 0
             for _ in range(STARS):
                 if len(left) < 2:
                     break
                 pivot = pivot_of(maps, left)
                 left = left[left != pivot]
                 near = maps.may_link(np.full(len(left), pivot), left)
-                out.append(pd.DataFrame({"a": np.full(int(near.sum()), c[pivot]), "b": c[left[near]]}))
+                low.append(np.full(int(near.sum()), c[pivot]))
+                high.append(c[left[near]])
+                starred += int(near.sum())
                 left = left[~near]
-            if out:
-                yield pd.concat(out)
+            if some is None or some > starred:
+                alive.append(run)
+        a, b = np.concatenate(low), np.concatenate(high)
+        if len(a):
+            a, b = _unique_pairs([(a, b)])
+            yield pd.DataFrame({"run": pd.Series([None] * len(a), dtype="Int64"), "a": pd.Series(a, dtype="Int64"), "b": pd.Series(b, dtype="Int64")})
+        if alive:
+            yield pd.DataFrame({"run": pd.Series(alive, dtype="Int64"), "a": pd.Series([None] * len(alive), dtype="Int64"), "b": pd.Series([None] * len(alive), dtype="Int64")})
 
 
 def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -403,8 +427,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ids = cut(flat.mapInPandas(_measure, "i string, th long, n long, c long, map binary"))
     rows, counts = sketch.collected(sketch.frequencies(docs, text_col, sets_of))
     total = float(counts.sum())
-    spread = 4 * total / len(counts) + 8
-    rank = np.floor(np.log2(np.maximum(counts / spread, 1))).astype(np.uint8)
+    rank = frequency_ranks(counts)
     mean_list = float((counts.astype(float) ** 2).sum() / total) if total else 0.0
     small = {r.n: r["count"] for r in ids.where((F.col("n") > 0) & (F.col("n") <= MOST_LIGHT)).groupBy("n").count().collect()}
     light = boundary(small, mean_list)
@@ -417,10 +440,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = cut(runs.mapInPandas(_members, "run long, c long, s long"))
     maps = reps.select("c", "map")
     lists = members.join(maps, "c").groupBy("run").agg(F.collect_list(F.struct("c", "s", "map")).alias("m"))
-    stars = lists.select(F.col("m.c").alias("cs"), F.col("m.s").alias("ss"), F.col("m.map").alias("ms")).mapInPandas(_stars, "a long, b long")
-    first = cut(_verify(flat, reps, short.unionByName(stars).distinct()).distinct())
+    stars = cut(lists.select("run", F.col("m.c").alias("cs"), F.col("m.s").alias("ss"), F.col("m.map").alias("ms")).mapInPandas(_stars, "run long, a long, b long"))
+    first = cut(_verify(flat, reps, short.unionByName(stars.where("run is null").select("a", "b")).distinct()).distinct())
     labels = components(first)
-    labelled = members.join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "c", "s", F.coalesce("comp", "c").alias("l"))
+    alive = members.join(stars.where("run is not null").select("run"), "run", "left_semi")
+    labelled = alive.join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "c", "s", F.coalesce("comp", "c").alias("l"))
     # Most long lists lie within one component by now; only the others are gathered again.
     mixed = labelled.join(labelled.groupBy("run").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("run"), "run", "left_semi")
     lists = mixed.join(maps, "c").groupBy("run").agg(F.collect_list(F.struct("c", "s", "l", "map")).alias("m"))
