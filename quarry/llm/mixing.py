@@ -19,6 +19,7 @@ are 0; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,8 @@ BLOCK = 16
 SLOTS = 1024
 SHARD_DOCS = 64
 SEED = 20240607
+#: Rows of the plan (about 100 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -96,7 +99,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if not plan:
         plan = [("", 0, 0, 0, 1, 0, 0.0, 0, 0)]
     table = spark.createDataFrame(plan, "_src string, _from int, _to int, _shard int, _n long, source_size long, target double, _quota long, _start long")
-    by_source = table.groupBy("_src").agg(F.count("*").alias("_shards"))
+    # Both tables have been on the driver; joined by broadcast they cost no shuffle by source, whose hot keys would
+    # meet in a task. Beyond these sizes they're joined like any other.
+    by_source = spark.createDataFrame([(s, n) for s, n in Counter(r[0] for r in plan).items()], "_src string, _shards int")
+    if len(plan) <= BROADCAST_ROWS:
+        table, by_source = F.broadcast(table), F.broadcast(by_source)
     sharded = sized.join(by_source, "_src", "left").withColumn("_shard", F.floor(F.col("_slot") * F.col("_shards") / F.lit(SLOTS)).cast("int"))
     w = Window.partitionBy("_src", "_shard").orderBy("_key", F.col(id_col).asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sharded.withColumn("_end", F.sum("size").over(w)).join(table.select("_src", "_shard", "_n", "source_size", "target", "_quota", "_start"), ["_src", "_shard"], "left")
