@@ -12,8 +12,9 @@ Labels are read only from rows whose crc32 of the id as text leaves a remainder
 the lexicon and weights stay small and don't grow with the data); every document is scored. Text is the only input.
 
 Scale: labels are a bounded sample by id, found by one top-k; its ids filter the scan of documents as a broadcast of
-at most 2 * SAMPLE numbers. Scoring is one pass in Arrow batches without a shuffle. The lexicon has at most ``TERMS``
-entries.
+at most 2 * SAMPLE numbers. Features are counted exactly, so the model doesn't depend on how rows are dealt; what that
+shuffles is bounded by the sample's words. Scoring is one pass in Arrow batches without a shuffle. The lexicon has at
+most ``TERMS`` entries.
 
 Defined results: a null or empty text has no hits and gets the lowest score; without any labels the lexicon is
 empty and all documents get score 0; repeated rows are scored one by one; rows without an id are not held out
@@ -191,9 +192,8 @@ def _presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = {normal(w) for w in set(as_text(t).lower().split())}
             found = {f"={w}" for w in words if 3 <= len(w) <= 24} | {w[:n] for w in words for n in STEMS if len(w) >= n}
             counts[int(y)].update(found)
-    # Of the other documents' features only those matter that toxic ones hold; another task may hold those, so
-    # features met twice and more are handed on too.
-    keys = [k for k in counts[1] | counts[0] if counts[1][k] or counts[0][k] > 1]
+    # Every count is handed on: another task's toxic rows may hold a feature that is met once here.
+    keys = list(counts[1] | counts[0])
     for lo in range(0, len(keys), 50_000):
         part = keys[lo : lo + 50_000]
         yield pd.DataFrame({"f": part, "p": [counts[1][k] for k in part], "q": [counts[0][k] for k in part]})

@@ -236,6 +236,16 @@ def test_toxicity_held_out(spark):
     assert toxicity.learn(docs, flipped) == toxicity.learn(docs, labels)
 
 
+def test_toxic_model_does_not_depend_on_partitions(spark):
+    """A neutral word in some toxic rows and once in many others: alone in its task it still counts."""
+    rows = [(i, f"text{i} " + ("vile plain" if i % 3 == 0 and i < 90 else "vile" if i % 3 == 0 else "plain"), int(i % 3 == 0)) for i in range(300)]
+    models = []
+    for n in (1, 300):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string, toxic int")
+        models.append(toxicity.learn(docs, docs.select("doc_id", "toxic")))
+    assert models[0] == models[1] and [e.text for e in models[0].entries] == ["vile"]
+
+
 # --- 7
 def brute_sainte_lague(votes, caps, seats):
     got = [0] * len(votes)
