@@ -39,20 +39,19 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 
 def show(df: DataFrame, output: str) -> None:
-    """The first rows for people; whole results go to files by ``sinks.write``."""
+    """As a table the first rows, for people; as JSON lines and CSV all rows, a partition at a time."""
     if output == "table":
         print(sinks.as_table(df))
         return
-    rows = df.limit(sinks.REPORT_ROWS)
     if output == "json":
-        for r in rows.toJSON().toLocalIterator():
+        for r in df.toJSON().toLocalIterator():
             print(r)
         return
     import csv
 
     out = csv.writer(sys.stdout)
-    out.writerow(rows.columns)
-    for r in rows.select(*(F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in rows.schema)).toLocalIterator():
+    out.writerow(df.columns)
+    for r in df.select(*(F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in df.schema)).toLocalIterator():
         out.writerow(r)
 
 

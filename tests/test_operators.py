@@ -150,3 +150,14 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.log").write_text("2024-01-01 10:30:45.123 SQL:BatchCompleted SELECT 1 Duration: 150 ms CPU: 75 ms Reads: 1 Writes: 0\n")
     assert main(["--log", f"file://{tmp_path}/a.log", "--output", "csv"]) == 0
     assert "SELECT,1" in capsys.readouterr().out
+
+
+def test_command_line_gives_all_entries(spark, tmp_path, capsys):
+    from quarry.__main__ import main
+
+    n = 1234
+    (tmp_path / "b.log").write_text("".join(f"2024-01-01 10:30:45.123 SQL:BatchCompleted SELECT {i} Duration: 150 ms CPU: 75 ms Reads: 1 Writes: 0\n" for i in range(n)))
+    for kind in ("json", "csv"):
+        assert main(["--log", f"file://{tmp_path}/b.log", "--output", kind]) == 0
+        out = capsys.readouterr().out
+        assert all(f"SELECT {i}" in out for i in (0, n - 1)) and sum("SELECT " in x for x in out.splitlines()) == n
