@@ -21,10 +21,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; equal rows share a verdict, so they are met by id, source and text's hash."""
-    kept = quality.judge(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("host").alias("k_host"), F.col("th").alias("k_th")).distinct()
-    host = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (host == F.col("k_host")) & (F.xxhash64("text") == F.col("k_th")), "left_semi")
+    """Rejected documents go, and common lines of the others; n_chars follows a text that lost lines."""
+    out = quality.cleaned(docs.select(*COLUMNS).withColumn("whole", F.char_length("text")))
+    now = F.char_length("text")
+    return out.withColumn("n_chars", F.when(now < F.col("whole"), now.cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

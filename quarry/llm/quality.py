@@ -4,16 +4,18 @@ Lines are normalised (A-Z in lower case, white space made single) and hashed. A
 ``source`` column) if the number of distinct texts there that hold it passes the host's limit, the larger of
 ``MIN_TEXTS`` and ``SHARE`` of the host's distinct texts. Common lines are taken out; a document that loses more
 than half of its words is depleted and rejected. Exact copies are one text, so that copying alone never makes a
-line common. A document also fails on the base rules: fewer than 50 words, or most of its words in repeated
+line common. ``verdicts`` measures whole texts; ``cleaned`` gives the kept documents without their common lines. A
+document also fails on the base rules: fewer than 50 words, or most of its words in repeated
 three-word windows.
 
 Scale: texts are read once, in Arrow batches; what moves is one row (host, line, text) for each distinct line of a
 document. Counting is a two-step distinct count with map-side sums. The common lines go back to the documents by a
 semi-join that adaptive execution can split where a line is in a third of all documents, and sums by row are
-partial before they move.
+partial before they move. For ``cleaned`` the texts move once, to the hashes of their common lines; only texts with
+such lines go to Python again.
 
 Defined results: a null text has no words and fails the base rules; null hosts are one host; a text of white space
-has no lines; repeated rows are judged one by one and count as one text; an empty table gives an empty result.
+has no lines; lines without words and the other lines of a cleaned text stay as they are; repeated rows are judged one by one and count as one text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import carried, cut, missing, read_table, restored
@@ -58,6 +60,16 @@ def repeated_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
+def line_hash(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words).lower()) - (1 << 63)
+
+
+def without(text: str, hashes: set[int]) -> str:
+    """The text without the lines of these hashes."""
+    stays = lambda line: not (words := line.encode("utf-8", "replace").split()) or line_hash(words) not in hashes
+    return "\n".join(line for line in text.split("\n") if stays(line))
+
+
 def describe(text: str | None) -> tuple[int, int, int, int, int, list[int], list[int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, hashes and words of the distinct lines."""
     if text is None:
@@ -73,7 +85,7 @@ def describe(text: str | None) -> tuple[int, int, int, int, int, list[int], list
         if found:
             repeated += line in seen
             seen.add(line)
-            h = xxhash.xxh64_intdigest(b" ".join(found).lower()) - (1 << 63)
+            h = line_hash(found)
             lines[h] = lines.get(h, 0) + len(found)
     return len(words), chars, symbols, repeated, repeated_words(words), list(lines), list(lines.values())
 
@@ -88,17 +100,21 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def host_key(host: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), host.cast("string")), F.lit("n"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
-    """(id, host key, text hash, measures, base_failed, removed_words, kept), one row for each row of ``docs``."""
-    host = F.coalesce(F.concat(F.lit("s"), docs[host_col].cast("string")), F.lit("n"))
-    rows = docs.select(carried(docs, id_col), docs[text_col].alias("t"), host.alias("host"), F.xxhash64(docs[text_col]).alias("th"))
+    """(id, host key, text hash, measures, removed_words, hashes of the removed lines or null, base_failed, kept), one
+    row for each row of ``docs``."""
+    rows = docs.select(carried(docs, id_col), docs[text_col].alias("t"), host_key(docs[host_col]).alias("host"), F.xxhash64(docs[text_col]).alias("th"))
     base = cut(rows.mapInPandas(_described, "i string, host string, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, h array<long>, w array<long>")).withColumn("rid", F.monotonically_increasing_id())
     lines = base.select("rid", "host", "th", F.explode(F.arrays_zip("h", "w")).alias("x")).select("rid", "host", "th", F.col("x.h").alias("line"), F.col("x.w").alias("words"))
     limit = base.groupBy("host").agg(F.greatest(F.lit(float(min_texts)), F.count_distinct("th") * F.lit(share)).alias("limit"))
     # A line found in no more than min_texts texts is under every host's limit: the host join sees few lines.
     counts = lines.groupBy("host", "line").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") > min_texts)
     common = counts.join(limit, "host").where(F.col("texts") > F.col("limit")).select("host", "line")
-    removed = lines.join(common, ["host", "line"], "left_semi").groupBy("rid").agg(F.sum("words").alias("removed_words"))
+    removed = lines.join(common, ["host", "line"], "left_semi").groupBy("rid").agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_list("line")).alias("removed"))
     out = base.drop("h", "w").join(removed, "rid", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     depleted = 2 * F.col("removed_words") > F.col("n_words")
@@ -109,6 +125,21 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The kept rows of ``docs`` with their columns, their texts without common lines. Equal rows share a verdict, so
+    rows are met by id, host and text's hash."""
+    found = judge(docs, id_col, text_col, host_col).where("kept").select(F.col(id_col).alias("k_id"), F.col("host").alias("k_host"), F.col("th").alias("k_th"), F.col("removed").alias("k_removed")).distinct()
+    rows = docs.join(found, docs[id_col].eqNullSafe(F.col("k_id")) & (host_key(docs[host_col]) == F.col("k_host")) & (F.xxhash64(docs[text_col]) == F.col("k_th")))
+
+    @F.pandas_udf("string")
+    def strip(texts: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([None if missing(t) else without(t, set(h.tolist())) for t, h in zip(texts, hashes, strict=True)], dtype=object)
+
+    # Texts without common lines aren't sent to Python.
+    less = strip(F.when(F.col("k_removed").isNotNull(), F.col(text_col)), F.col("k_removed"))
+    return rows.withColumn(text_col, F.coalesce(less, F.col(text_col))).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(read_table(spark, sf_dir, "documents"))
 

@@ -134,6 +134,16 @@ def test_common_lines_deplete(spark):
     assert not any(got[i] for i in range(30)) and all(got[100 + i] for i in range(40))
 
 
+def test_common_lines_are_taken_out(spark):
+    """Kept documents lose the common line, in any case and spacing of it, and nothing else."""
+    unique = lambda i: " ".join(f"u{i}x{k}" for k in range(60))
+    rows = [(i, f"Ünique  {unique(i)}\n\nALL  rights reserved\n tail {i}\t", "a") for i in range(30)] + [(i, unique(i) + "\nall rights reserved", "b") for i in range(30, 35)]
+    rows += [rows[0], (None, rows[1][1], "a"), (50, unique(50), None), (51, "all rights reserved", "a")]
+    got = quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    want = [(i, t.replace("ALL  rights reserved\n", ""), s) for i, t, s in rows if i != 51]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 # --- 5
 def brute_components(texts):
     sets = {i: set(u.tolist()) for (i, _), u in zip(texts, shingle_sets([lower_ascii(t) for _, t in texts]), strict=True)}

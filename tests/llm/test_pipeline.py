@@ -41,3 +41,10 @@ def test_stages(spark):
 def test_run_equals_its_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+
+
+def test_quality_stage_takes_common_lines_out(spark):
+    unique = lambda i: " ".join(f"u{i}x{k}" for k in range(60))
+    rows = [(i, unique(i) + "\nall rights reserved", "en", "a", 7) for i in range(30)] + [(30, unique(30), "en", "a", 7)]
+    out = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in out) == [(i, unique(i), len(unique(i)) if i < 30 else 7) for i in range(31)]
