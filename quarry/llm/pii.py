@@ -106,8 +106,9 @@ def base_spans(text: str) -> list[Span]:
 MOST_TOKENS = 7
 TRAIN_SENTENCES = 400
 #: Where an entity can be: a digit group of four and more digits with the signs that join groups, an @, a written-out address.
-_PLACE = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){5,}|\S+(?:@|[\[(]at[\])])\S+|\b[\w.]+ (?:at|\(at\)|\[at\]) [\w-]+ (?:dot|\(dot\)|\[dot\]) \w+|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){3,7}")
-_MAY = re.compile(r"[0-9]{2}|@|[\[(]at[\])]| dot ")
+_PLACE = re.compile(r"(?i)[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){5,}|\S+(?:@|[\[(]at[\])])\S+|\b[\w.]+ (?:at|\(at\)|\[at\]) [\w-]+ (?:dot|\(dot\)|\[dot\]) \w+|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){3,7}")
+#: A part of each of _PLACE's alternatives: a text without any has no place.
+_MAY = re.compile(r"(?i)[0-9][\x20().-]{0,2}[0-9]|@|[\[(]at[\])]| (?:dot|\(dot\)|\[dot\]) |:[0-9a-f]{0,4}:")
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'<>,;:!?#$%&*|=“”«»"
 #: Cue words before a span, per kind.
