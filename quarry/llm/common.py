@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,10 +21,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one only where none is named (tests)."""
+    """Keep the cluster's shared checkpoint folder. One of its own is set only in local mode (tests); elsewhere a
+    machine's folder isn't shared, so none is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quarry")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints/quarry")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -91,19 +94,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_BASE = 0x2545F4914F6CDD1D
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-@functools.lru_cache(maxsize=1)
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(_BASE, n), _powers(_INVERSE, n)
+#: Bytes of a word that are hashed at a time; masks that keep the first bytes of such a chunk.
+_CHUNK = 8
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(_CHUNK)] + [(1 << 64) - 1], dtype=np.uint64)
+#: Chunks that are handled for all words together, and the keys of their places.
+_PLACES = 8
+_PLACE_KEYS = mix64(np.arange(1, _PLACES + 1, dtype=np.uint64) * _MULT)
 
 
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -119,19 +115,30 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For blocks of texts: (index of the block's first text, 64-bit hash of each word, offsets of the
-    texts' words in it). Polynomial prefix sums modulo 2**64 hash all words of a block at once."""
+    texts' words in it). A word is cut into chunks of eight bytes; each is mixed with its place in the word, and the
+    word's hash mixes the sum of its chunks with its length. (A polynomial of the bytes modulo 2**64 won't do: words of
+    two letters in Thue-Morse order and their complements are equal under any base.)"""
     for lo, hi in _blocks(texts):
         joined = b" ".join(texts[lo:hi]) + b" "
         raw = np.frombuffer(joined, dtype=np.uint8)
-        n = len(raw)
-        pw, ipw = _tables(BLOCK + 4096) if n <= BLOCK + 4096 else (_powers(_BASE, n), _powers(_INVERSE, n))
         space = _SPACE[raw]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         starts, ends = edge[0::2], edge[1::2]
-        sums = np.empty(n + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * pw[:n], out=sums[1:])
-        words = mix64((sums[ends] - sums[starts]) * ipw[starts])
+        size = ends - starts
+        # Eight bytes from each place on, as a number.
+        eight = np.ndarray(shape=len(raw), dtype="<u8", buffer=joined + bytes(_CHUNK), strides=(1,))
+        sums = mix64((eight[starts] & _KEEP[np.minimum(size, _CHUNK)]) ^ _PLACE_KEYS[0])
+        longer = np.flatnonzero(size > _CHUNK)
+        for place in range(1, _PLACES):
+            left = size[longer] - place * _CHUNK
+            chunk = eight[starts[longer] + place * _CHUNK] & _KEEP[np.minimum(left, _CHUNK)]
+            sums[longer] += mix64(chunk ^ _PLACE_KEYS[place])
+            longer = longer[left > _CHUNK]
+        for k in longer:  # words of over 64 bytes, each at once
+            place = np.arange(_PLACES, -(-int(size[k]) // _CHUNK))
+            chunk = eight[starts[k] + place * _CHUNK] & _KEEP[np.minimum(size[k] - place * _CHUNK, _CHUNK)]
+            sums[k] += mix64(chunk ^ mix64(place.astype(np.uint64) * _MULT + _MULT)).sum(dtype=np.uint64)
+        words = mix64(sums + size.astype(np.uint64) * _MULT)
         begins = np.zeros(hi - lo + 1, dtype=np.int64)
         np.cumsum([len(t) + 1 for t in texts[lo:hi]], out=begins[1:])
         yield lo, words, np.searchsorted(starts, begins)
@@ -161,16 +168,3 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
 def lower_ascii(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z in lower case, other letters as they are."""
     return utf8(text).lower()
-
-
-_NAME = re.compile(r"\W+")
-
-
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't have, whatever its case."""
-    taken = {c.lower() for c in df.columns}
-    name, i = f"__{_NAME.sub('', stem)}", 0
-    while name.lower() in taken:
-        i += 1
-        name = f"__{stem}{i}"
-    return name
