@@ -26,7 +26,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
+        if not folder and sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or "/tmp/checkpoints/quarry")
 
@@ -137,7 +137,7 @@ def word_hashes(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         for k in longer:  # words of over 64 bytes, each at once
             place = np.arange(_PLACES, -(-int(size[k]) // _CHUNK))
             chunk = eight[starts[k] + place * _CHUNK] & _KEEP[np.minimum(size[k] - place * _CHUNK, _CHUNK)]
-            sums[k] += mix64(chunk ^ mix64(place.astype(np.uint64) * _MULT + _MULT)).sum(dtype=np.uint64)
+            sums[k : k + 1] += mix64(chunk ^ mix64(place.astype(np.uint64) * _MULT + _MULT)).sum(dtype=np.uint64)
         words = mix64(sums + size.astype(np.uint64) * _MULT)
         begins = np.zeros(hi - lo + 1, dtype=np.int64)
         np.cumsum([len(t) + 1 for t in texts[lo:hi]], out=begins[1:])

@@ -9,6 +9,6 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``. In local mode (tests) a local one stands in where none is named;
     elsewhere a machine's folder isn't shared, so none is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder or "/tmp/checkpoints/quarry"
