@@ -12,7 +12,7 @@ Scale: document frequencies are kept in a hashed table of fixed size (``sketch``
 is shipped. Neighbours by id are met by one range shuffle of the texts and a walk over each sorted range; only the
 first and last document of a range meet those of other ranges. No group is collected.
 
-Defined results: a null text is the empty text; ids are ordered with null first, equal ids by text; a single
+Defined results: a null text is the empty text; ids are ordered with null first, equal ids by the text's hash; a single
 document is its own successor; documents without words have equal (empty) fingerprints and likeness 1 with each
 other, 0 with others; extra columns are dropped; an empty table gives an empty result.
 """
@@ -54,6 +54,7 @@ def term_sets(texts: list[object]) -> list[np.ndarray]:
 def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> bytes:
     """One bit for each slot of the hashed table: its document frequency lies in the band."""
     n, counts = sketch.collected(sketch.frequencies(docs, text_col, term_sets))
+    counts = counts - sketch.chance(counts)
     inside = (counts >= max(LEAST_DOCS, band[0] * n)) & (counts <= max(LEAST_DOCS, band[1] * n))
     return np.packbits(inside).tobytes()
 

@@ -1,9 +1,8 @@
 """Document frequencies of hashed terms in a table of fixed size.
 
 Each term falls into one of ``2**BITS`` counters. Tasks count in place and hand on compressed segments, which are
-added up as they stream by, so memory and traffic don't depend on how many terms there are. A counter also holds
-the terms that share it: with N documents of a few hundred distinct terms the rest of a counter is about 1e-4 N at
-most, under the frequencies that the callers ask for.
+added up as they stream by, in two levels: first those of ``MERGED`` tasks each, so that no task sees all of them. Memory and traffic don't depend on how many terms there are. A counter
+also holds the terms that share it; ``chance`` is what the usual counter holds, to be taken off.
 """
 
 from __future__ import annotations
@@ -13,22 +12,30 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 BITS = 22
 SEGMENT = 1 << 16
-_SCHEMA = "segment int, docs long, counts binary"
+#: Tasks whose tables are added up at the first level.
+MERGED = 64
+_SCHEMA = "segment int, salt int, docs long, counts binary"
 
 
 def slots(terms: np.ndarray) -> np.ndarray:
     return (terms >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _emit(table: np.ndarray, docs: int) -> Iterator[pd.DataFrame]:
+def chance(counts: np.ndarray) -> float:
+    """What the terms that share a counter amount to: the median, as most counters have no frequent term."""
+    return float(np.median(counts))
+
+
+def _emit(table: np.ndarray, docs: int, salt: int) -> Iterator[pd.DataFrame]:
     for k in range(len(table) // SEGMENT):
         part = table[k * SEGMENT : (k + 1) * SEGMENT]
-        if part.any():
-            yield pd.DataFrame({"segment": pd.Series([k], dtype="int32"), "docs": [docs if k == 0 else 0], "counts": [zlib.compress(part.astype("<u8").tobytes(), 1)]})
+        if k == 0 or part.any():  # segment 0 carries the number of rows
+            yield pd.DataFrame({"segment": pd.Series([k], dtype="int32"), "salt": pd.Series([salt], dtype="int32"), "docs": [docs if k == 0 else 0], "counts": [zlib.compress(part.astype("<u8").tobytes(), 1)]})
 
 
 def frequencies(docs: DataFrame, text_col: str, sets: Callable[[list[object]], list[np.ndarray]]) -> DataFrame:
@@ -43,8 +50,7 @@ def frequencies(docs: DataFrame, text_col: str, sets: Callable[[list[object]], l
             if any(len(x) for x in found):
                 table += np.bincount(slots(np.concatenate(found)), minlength=1 << BITS).astype(np.uint32)
         if n:
-            table[0] += 0 if table[:SEGMENT].any() else 1  # segment 0 carries the number of rows
-            yield from _emit(table, n)
+            yield from _emit(table, n, TaskContext.get().partitionId() // MERGED)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -55,9 +61,10 @@ def frequencies(docs: DataFrame, text_col: str, sets: Callable[[list[object]], l
                 sums[k] = sums[k] + part if k in sums else part
                 n[k] = n.get(k, 0) + d
         for k, part in sums.items():
-            yield pd.DataFrame({"segment": pd.Series([k], dtype="int32"), "docs": [n[k]], "counts": [zlib.compress(part.tobytes(), 1)]})
+            yield pd.DataFrame({"segment": pd.Series([k], dtype="int32"), "salt": pd.Series([0], dtype="int32"), "docs": [n[k]], "counts": [zlib.compress(part.tobytes(), 1)]})
 
-    parts = docs.select(docs[text_col].alias("t")).mapInPandas(count, _SCHEMA)
+    texts = docs.select(docs[text_col].alias("t"))
+    parts = texts.mapInPandas(count, _SCHEMA).repartition("segment", "salt").mapInPandas(add, _SCHEMA)
     return parts.repartition("segment").mapInPandas(add, _SCHEMA)
 
 
