@@ -10,15 +10,20 @@ when 100 * intersection >= 75 * union. Equal sets are one class, and only classe
   The order comes from a hashed table of fixed size; any order gives the same links.
 * The boundary is chosen by cost: subsets of a size against prefix entries times the mean list they meet.
 
-A list of up to ``PAIRS`` classes gives its pairs. A longer one gives stars (classes with a pivot) first; when
-the links of all stars are known, only members that are still in different components are paired. So a group of
-many near copies costs its size, not its square, and no link between different components is left out. Candidates
-whose parity maps (two to four bits for each shingle) show more differences than linked sets may have are dropped; the
-rest are checked on the whole sets: their texts travel once for each star, split by ``SALT``.
+A list of up to ``PAIRS`` classes gives its pairs. A longer one gives stars (classes with a pivot) first, by chunks
+of ``CHUNK`` members; the pivots of a list's chunks are a list of their own, until one chunk is left. When the links of
+all stars are known, members outside a list's largest component are compared with those of other components. So a
+group of many near copies costs its size, not its square, and no link between different components is left out.
+Candidates whose parity maps (two to four bits for each shingle) show more differences than linked sets may have are
+dropped; the rest are checked on the whole sets: their texts travel once for each star, split by ``SALT``.
 
 Scale: what moves is 20 bytes for each prefix entry (about a quarter of a text's words) in packed blocks, the texts
 of candidates, and small rows. The frequency table (4 MB) and a filter of candidate texts (2 MB) are all that is
-shipped; both have a fixed size. Components are found by minimum labels with pointer jumping, cut at each round.
+shipped; both have a fixed size. A key that may have more than ``LIST`` entries, by the frequency table, is salted by
+class, so no task holds more of it than its share; no task holds more than a chunk of a list with maps. Members
+outside the largest component visit each chunk of their list. Components are found by minimum labels with pointer
+jumping, cut at each round. Rows get their class's component, and classes their component's lowest id, with hot keys
+by broadcast.
 
 Defined results: null and empty texts, and such without words, have an empty set, no links and themselves as
 component; texts of fewer than five words have one shingle, their whole sequence; ties in ids and repeated rows are
@@ -29,6 +34,7 @@ probability of about n * n / 2**65.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -40,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import sketch
-from quarry.llm.common import as_text, carried, cut, lower_ascii, mix64, read_table, shingle_sets
+from quarry.llm.common import as_text, carried, cut, lower_ascii, mix64, read_table, shingle_sets, spread_join
 
 WORDS = 5
 #: Linked: DEN * intersection >= NUM * union.
@@ -53,6 +59,8 @@ PAIRS = 8
 SALT = 256
 #: Bytes of entries in a block's partition, entries held by a task before it hands blocks on.
 PART_BYTES, HELD = 32 << 20, 2_000_000
+#: Entries of a key that a task holds, and members of a list that are compared at once.
+LIST, CHUNK = 1 << 18, 1 << 12
 #: Bits of the filter for candidate texts.
 FILTER_BITS = 24
 
@@ -152,25 +160,42 @@ def boundary(sizes: dict[int, int], mean_list: float) -> int:
     return best
 
 
-def frequency_ranks(counts: np.ndarray) -> np.ndarray:
-    """Classes of the hashed table's slots: 0 up to what chance puts into a slot, then two for each doubling."""
+def usual_load(counts: np.ndarray) -> float:
+    """What chance puts into a slot of the hashed table, nearly always."""
     mean = counts.sum() / len(counts)
-    usual = mean + 3 * math.sqrt(mean) + 2
+    return float(mean + 3 * math.sqrt(mean) + 2)
+
+
+def frequency_ranks(counts: np.ndarray) -> np.ndarray:
+    """Classes of the hashed table's slots: 0 up to the usual load, then two for each doubling."""
+    usual = usual_load(counts)
     return np.where(counts > usual, 1 + np.floor(2 * np.log2(np.maximum(counts / usual, 1))), 0).astype(np.uint8)
 
 
-def light_keys(members: np.ndarray, tables: dict[int, list[np.ndarray]]) -> np.ndarray:
-    value = mix64(members ^ _LIGHT)
-    return np.concatenate([mix64(value[m].sum(axis=1, dtype=np.uint64) + np.uint64(m.shape[1] * int(_LIGHT) % (1 << 64))) for m in tables[len(members)]])
+def salts_by_rank(usual: float, held: int = LIST) -> np.ndarray:
+    """In how many parts the list of a key is dealt whose shingles are all of this rank or a higher one: a list isn't
+    longer than the load of any of its shingles' slots."""
+    return np.maximum(1, np.ceil(usual * 2.0 ** (np.arange(64) / 2) / held)).astype(np.int64)
 
 
-def heavy_keys(members: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order: by frequency class, then hash."""
+def light_keys(members: np.ndarray, rank: np.ndarray, tables: dict[int, list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a light set's subsets, and the lowest rank among each one's shingles."""
+    value, r = mix64(members ^ _LIGHT), rank[sketch.slots(members)]
+    keys, low = [], []
+    for m in tables[len(members)]:
+        keys.append(mix64(value[m].sum(axis=1, dtype=np.uint64) + np.uint64(m.shape[1] * int(_LIGHT) % (1 << 64))))
+        low.append(r[m].min(axis=1))
+    return np.concatenate(keys), np.concatenate(low)
+
+
+def heavy_keys(members: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the common order, by frequency class, then hash, and their ranks."""
     n = len(members) - least(len(members)) + 1
     r = rank[sketch.slots(members)]
     if not r.any():
-        return members[:n]
-    return members[np.lexsort((members, r))[:n]]
+        return members[:n], r[:n]
+    order = np.lexsort((members, r))[:n]
+    return members[order], r[order]
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,29 +204,41 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"i": b["i"], "th": b["th"], "n": pd.Series([len(s) for s in sets], dtype="int64"), "c": pd.Series([class_id(s) for s in sets], dtype="int64"), "map": [parity_map(s) for s in sets]})
 
 
-def _entries(docs: DataFrame, rank, light: int, blocks: int) -> DataFrame:
-    """Packed entries (key, class, size) by block."""
+_ENTRIES = "block int, salted boolean, k binary, p binary, c binary, s binary"
+
+
+def _entries(docs: DataFrame, rank, salts: np.ndarray, light: int, blocks: int) -> DataFrame:
+    """Packed entries (key, part, class, size) by block. Only salted keys have parts."""
     reach = NUM * (light + 1) / DEN  # smaller sets link to light ones only
 
+    def packed(k: np.ndarray, p: np.ndarray, c: np.ndarray, s: np.ndarray, salted: bool) -> Iterator[pd.DataFrame]:
+        block = (mix64(k ^ mix64(p.astype(np.uint64)) if salted else k) % np.uint64(blocks)).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        k, p, c, s, block = k[order], p[order], c[order], s[order], block[order]
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = [*cuts[1:], len(k)]
+        cell = lambda x: [x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+        yield pd.DataFrame({"block": block[cuts], "salted": salted, "k": cell(k), "p": cell(p) if salted else [None] * len(cuts), "c": cell(c), "s": cell(s)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.frombuffer(rank.value, dtype=np.uint8)
         tables = {s: subsets(s) for s in range(1, light + 1)}
         seen: set[int] = set()
-        keys, classes, sizes, held = [], [], [], 0
+        keys, ranks, classes, sizes, held = [], [], [], [], 0
 
         def flush() -> Iterator[pd.DataFrame]:
             nonlocal held
-            k = np.concatenate(keys)
-            n = [len(x) for x in keys]
+            k, n = np.concatenate(keys), [len(x) for x in keys]
             c, s = np.repeat(np.array(classes, dtype=np.int64), n), np.repeat(np.array(sizes, dtype=np.uint32), n)
-            block = (mix64(k) % np.uint64(blocks)).astype(np.int32)
-            order = np.argsort(block, kind="stable")
-            k, c, s, block = k[order], c[order], s[order], block[order]
-            cuts = np.flatnonzero(np.diff(block, prepend=-1))
-            ends = [*cuts[1:], len(k)]
-            keys.clear(), classes.clear(), sizes.clear()
+            parts = salts[np.concatenate(ranks)]
+            p = (mix64(c.view(np.uint64) ^ _LIGHT) % parts.astype(np.uint64)).astype(np.int32)
+            for x in keys, ranks, classes, sizes:
+                x.clear()
             held = 0
-            yield pd.DataFrame({"block": block[cuts], "k": [k[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], "c": [c[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], "s": [s[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]})
+            for salted in (False, True):
+                w = (parts > 1) == salted
+                if w.any():
+                    yield from packed(k[w], p[w], c[w], s[w], salted)
 
         for b in batches:
             for members in sets_of(list(b["t"])):
@@ -209,16 +246,16 @@ def _entries(docs: DataFrame, rank, light: int, blocks: int) -> DataFrame:
                 if not n or (cid := class_id(members)) in seen:
                     continue
                 seen.add(cid)
-                mine = ([light_keys(members, tables)] if n <= light else []) + ([heavy_keys(members, table)] if n >= reach else [])
-                for k in mine:
-                    keys.append(k), classes.append(cid), sizes.append(n)
+                mine = ([light_keys(members, table, tables)] if n <= light else []) + ([heavy_keys(members, table)] if n >= reach else [])
+                for k, r in mine:
+                    keys.append(k), ranks.append(r), classes.append(cid), sizes.append(n)
                     held += len(k)
                 if held >= HELD:
                     yield from flush()
         if held:
             yield from flush()
 
-    return docs.select(docs["t"]).mapInPandas(run, "block int, k binary, c binary, s binary")
+    return docs.select(docs["t"]).mapInPandas(run, _ENTRIES)
 
 
 def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -234,40 +271,56 @@ def _unique_pairs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return a[new], b[new]
 
 
+_LISTS = "run long, part int, a binary, b binary"
+
+
+def _sorted_lists(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Entries (key, part, class, size) in order, each once, and where the lists begin."""
+    k, p, c, s = (np.concatenate([np.frombuffer(r[j], dtype=t) for r in rows]) for j, t in enumerate((np.uint64, np.int32, np.int64, np.uint32)))
+    order = np.lexsort((c, p, k))
+    k, p, c, s = k[order], p[order], c[order], s[order]
+    other = np.ones(len(k), dtype=bool)
+    other[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+    keep = other.copy()
+    keep[1:] |= c[1:] != c[:-1]
+    k, p, c, s = k[keep], p[keep], c[keep], s[keep]
+    return k, p, c, s, np.flatnonzero(other[keep])
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lists of a partition's keys: pairs of short ones (run null), and the members of long ones."""
-    got = [(k, c, s) for b in batches for k, c, s in zip(b["k"], b["c"], b["s"], strict=True)]
-    if not got:
-        return
-    k = np.concatenate([np.frombuffer(x[0], dtype=np.uint64) for x in got])
-    c = np.concatenate([np.frombuffer(x[1], dtype=np.int64) for x in got])
-    s = np.concatenate([np.frombuffer(x[2], dtype=np.uint32) for x in got])
-    del got
-    order = np.lexsort((c, k))
-    k, c, s = k[order], c[order], s[order]
-    keep = np.ones(len(k), dtype=bool)
-    keep[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    k, c, s = k[keep], c[keep], s[keep]
-    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    """Lists of a partition's keys: pairs of short ones (run null), and the members of long ones and of salted keys'
+    parts. Equal long lists have one name; parts of a salted key are named by it."""
+    plain, salted = [], []
+    for b in batches:
+        for hot, k, p, c, s in zip(b["salted"], b["k"], b["p"], b["c"], b["s"], strict=True):
+            (salted if hot else plain).append((k, p if hot else bytes(len(k) // 2), c, s))
+    for rows in (plain, salted):
+        if rows:
+            yield from _named_lists(*_sorted_lists(rows), rows is salted)
+
+
+def _named_lists(k: np.ndarray, p: np.ndarray, c: np.ndarray, s: np.ndarray, starts: np.ndarray, salted: bool) -> Iterator[pd.DataFrame]:
     sizes = np.diff(np.append(starts, len(k)))
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    for m in range(2, PAIRS + 1):
+    for m in range(2, 0 if salted else PAIRS + 1):
         at = starts[sizes == m]
         for x, y in itertools.combinations(range(m), 2):
             ok = _fits(s[at + x], s[at + y])
             pairs.append((c[at + x][ok], c[at + y][ok]))
-    runs: dict[int, tuple[bytes, bytes]] = {}
-    for a, m in zip(starts[sizes > PAIRS], sizes[sizes > PAIRS], strict=True):
+    runs: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+    long = np.ones(len(starts), dtype=bool) if salted else sizes > PAIRS
+    for a, m in zip(starts[long], sizes[long], strict=True):
         cs = c[a : a + m].tobytes()
-        runs[int.from_bytes(hashlib.blake2b(cs, digest_size=8).digest(), "little", signed=True)] = (cs, s[a : a + m].tobytes())
+        name = k[a].tobytes() if salted else hashlib.blake2b(cs, digest_size=8).digest()
+        runs[int.from_bytes(name, "little", signed=True), int(p[a])] = (cs, s[a : a + m].tobytes())
     if pairs:
         a, b = _unique_pairs(pairs)
         for lo in range(0, len(a), 1 << 20):
-            yield pd.DataFrame({"run": pd.Series([None], dtype="Int64"), "a": [a[lo : lo + (1 << 20)].tobytes()], "b": [b[lo : lo + (1 << 20)].tobytes()]})
+            yield pd.DataFrame({"run": pd.Series([None], dtype="Int64"), "part": pd.Series([-1], dtype="int32"), "a": [a[lo : lo + (1 << 20)].tobytes()], "b": [b[lo : lo + (1 << 20)].tobytes()]})
     names = list(runs)
     for lo in range(0, len(names), 1000):
         part = names[lo : lo + 1000]
-        yield pd.DataFrame({"run": pd.Series(part, dtype="Int64"), "a": [runs[r][0] for r in part], "b": [runs[r][1] for r in part]})
+        yield pd.DataFrame({"run": pd.Series([r for r, _ in part], dtype="Int64"), "part": pd.Series([x if salted else -1 for _, x in part], dtype="int32"), "a": [runs[r][0] for r in part], "b": [runs[r][1] for r in part]})
 
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,11 +329,20 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": np.frombuffer(a, dtype=np.int64), "b": np.frombuffer(b, dtype=np.int64)})
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for d in batches:
-        for r, a, b in zip(d["run"], d["a"], d["b"], strict=True):
-            c = np.frombuffer(a, dtype=np.int64)
-            yield pd.DataFrame({"run": np.full(len(c), r, dtype=np.int64), "c": c, "s": np.frombuffer(b, dtype=np.uint32).astype(np.int64)})
+def _members(chunk: int, held: int):
+    """(run, chunk, many, c, s) of long lists. Chunks have up to ``chunk`` members of near sizes; the numbers of chunks
+    of a salted key's parts lie apart. many: whether the list has other chunks."""
+    stride = 2 + 4 * held // chunk
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for r, p, a, b in zip(d["run"], d["part"], d["a"], d["b"], strict=True):
+                c, s = np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.uint32).astype(np.int64)
+                order = np.lexsort((c, s))
+                at = max(0, int(p)) * stride + np.arange(len(c)) // chunk
+                yield pd.DataFrame({"run": np.full(len(c), r, dtype=np.int64), "chunk": at, "many": np.full(len(c), p >= 0 or len(c) > chunk), "c": c[order], "s": s[order]})
+
+    return run
 
 
 def pivot_of(maps: Maps, among: np.ndarray) -> int:
@@ -302,24 +364,30 @@ STARS = 8
 LOOK = 64
 
 
+_STARS = "kind int, run long, chunk long, a long, b long"
+_PAIR, _ALIVE, _PIVOT = range(3)
+
+
 def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a long list's pivots with the members that may be linked to them (run null); and the runs (pair null)
-    that may hold other links: lists over LOOK, and those with such a pair besides the stars."""
+    """Of chunks of long lists: pairs of pivots with the members that may be linked to them; the runs that may hold
+    other links (those of several chunks or over LOOK, and those with such a pair besides the stars); and, for lists
+    of several chunks, the pivots with their sizes."""
     for d in batches:
         alive, low, high = [], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        for run, cs, ss, ms in zip(d["run"], d["cs"], d["ss"], d["ms"], strict=True):
+        pivots: list[tuple[int, int, int, int]] = []
+        for run, chunk, many, cs, ss, ms in zip(d["run"], d["chunk"], d["many"], d["cs"], d["ss"], d["ms"], strict=True):
             order = np.argsort(cs, kind="stable")
             c = np.asarray(cs)[order]
             maps = Maps([ms[k] for k in order], np.asarray(ss, dtype=np.int64)[order])
             some = None
-            if len(c) <= LOOK:
+            if len(c) <= LOOK and not many:
                 x, y = np.triu_indices(len(c), 1)
                 some = int(maps.may_link(x, y).sum())
                 if not some:
                     continue
             left, starred = np.arange(len(c)), 0
             for _ in range(STARS):
-                if len(left) < 2:
+                if len(left) < (1 if many else 2):
                     break
                 pivot = pivot_of(maps, left)
                 left = left[left != pivot]
@@ -328,34 +396,53 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 high.append(c[left[near]])
                 starred += int(near.sum())
                 left = left[~near]
+                if many:
+                    pivots.append((run, chunk, int(c[pivot]), int(maps.sizes[pivot])))
             if some is None or some > starred:
                 alive.append(run)
-        a, b = np.concatenate(low), np.concatenate(high)
-        if len(a):
-            a, b = _unique_pairs([(a, b)])
-            yield pd.DataFrame({"run": pd.Series([None] * len(a), dtype="Int64"), "a": pd.Series(a, dtype="Int64"), "b": pd.Series(b, dtype="Int64")})
-        if alive:
-            yield pd.DataFrame({"run": pd.Series(alive, dtype="Int64"), "a": pd.Series([None] * len(alive), dtype="Int64"), "b": pd.Series([None] * len(alive), dtype="Int64")})
+        a, b = _unique_pairs([(np.concatenate(low), np.concatenate(high))])
+        yield _star_rows(_PAIR, [0] * len(a), [0] * len(a), a, b)
+        yield _star_rows(_ALIVE, alive, [0] * len(alive), [0] * len(alive), [0] * len(alive))
+        yield _star_rows(_PIVOT, *(zip(*pivots, strict=True) if pivots else ([], [], [], [])))
+
+
+def _star_rows(kind: int, run, chunk, a, b) -> pd.DataFrame:
+    return pd.DataFrame({"kind": np.full(len(run), kind, dtype=np.int32), **{n: np.asarray(x, dtype=np.int64) for n, x in (("run", run), ("chunk", chunk), ("a", a), ("b", b))}})
+
+
+#: Visitors that are compared with a chunk's residents at a time.
+VISITORS = 256
 
 
 def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a long list's members that are in different components and may be linked."""
+    """Pairs of different components that may be linked, of sorted rows (run, chunk, visitor, c, s, l, major, map):
+    the members of a chunk, then members outside the list's largest component, which visit it. Two such members
+    meet once."""
+    group, home, guests = None, [], []
     for d in batches:
-        for cs, ss, ls, ms in zip(d["cs"], d["ss"], d["ls"], d["ms"], strict=True):
-            order = np.argsort(ls, kind="stable")
-            c, comp = np.asarray(cs)[order], np.asarray(ls)[order]
-            maps = Maps([ms[k] for k in order], np.asarray(ss, dtype=np.int64)[order])
-            after = np.searchsorted(comp, comp, side="right")
-            low, high, held = [], [], 0
-            for x in range(len(c)):
-                y = np.arange(after[x], len(c))
-                y = y[maps.may_link(np.full(len(y), x), y)]
-                low.append(np.minimum(c[y], c[x]))
-                high.append(np.maximum(c[y], c[x]))
-                held += len(y)
-                if held and (held > 200_000 or x == len(c) - 1):
-                    yield pd.DataFrame({"a": np.concatenate(low), "b": np.concatenate(high)})
-                    low, high, held = [], [], 0
+        for run, chunk, visitor, *row in zip(*(d[n] for n in ("run", "chunk", "visitor", "c", "s", "l", "major", "map")), strict=True):
+            if group != (run, chunk):
+                yield _met(home, guests)
+                group, home, guests = (run, chunk), [], []
+            (guests if visitor else home).append(row)
+            if len(guests) >= VISITORS:
+                yield _met(home, guests)
+                guests = []
+    yield _met(home, guests)
+
+
+def _met(home: list[list], guests: list[list]) -> pd.DataFrame:
+    low, high = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    if home and guests:
+        c, s, l, major = (np.array([r[k] for r in (*home, *guests)]) for k in range(4))
+        maps, n = Maps([r[4] for r in (*home, *guests)], s.astype(np.int64)), len(home)
+        for x in range(n, len(c)):
+            y = np.flatnonzero((l[:n] != l[x]) & (major[:n] | (c[:n] > c[x])))
+            y = y[maps.may_link(np.full(len(y), x), y)]
+            low.append(np.minimum(c[y], c[x]))
+            high.append(np.maximum(c[y], c[x]))
+    a, b = _unique_pairs([(np.concatenate(low), np.concatenate(high))])
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def _plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -384,9 +471,11 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are linked, on the whole texts of one document of each class."""
     spark = docs.sparkSession
     left, right = (reps.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}")) for x in "ab")
-    pairs = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInPandas(_plausible, "a long, b long"))
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALT)).alias("parts"))
-    salted = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
+    degrees = pairs.groupBy("a").agg(F.count("*").alias("k"))
+    both = spread_join(pairs, degrees.join(left, "a"), "a", "k", pairs.count()).join(right, "b")
+    pairs = cut(both.select("a", "b", "na", "nb", "ma", "mb").mapInPandas(_plausible, "a long, b long"))
+    degrees = pairs.groupBy("a").agg(F.count("*").alias("k")).withColumn("parts", F.ceil(F.col("k") / F.lit(SALT)))
+    salted = spread_join(pairs, degrees, "a", "k", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
     places = salted.select("a", "salt", F.lit(1).alias("role"), "b").unionByName(salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b")))
     placed = cut(places.join(reps, places.b == reps.c).select("a", "salt", "role", "b", "i", "th"))
     slot = F.pmod("th", F.lit(1 << FILTER_BITS))
@@ -419,8 +508,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("u", "l")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, class id, component label, component_id), one row for each row of ``docs``."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = LIST, chunk: int = CHUNK) -> DataFrame:
+    """(id, n_shingles, class id, component label, component_id), one row for each row of ``docs``. held, chunk: entries
+    of a key and members of a list that a task holds; the links are the same for any."""
+    if chunk <= STARS:
+        raise ValueError(f"chunk must be over {STARS}")
     spark = docs.sparkSession
     flat = docs.select(carried(docs, id_col), docs[text_col].alias("t"), F.xxhash64(docs[text_col]).alias("th"))
     kind = docs.schema[id_col].dataType
@@ -432,23 +524,42 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     small = {r.n: r["count"] for r in ids.where((F.col("n") > 0) & (F.col("n") <= MOST_LIGHT)).groupBy("n").count().collect()}
     light = boundary(small, mean_list)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total / 4 + rows) * 20 / PART_BYTES))
-    entries = _entries(flat, spark.sparkContext.broadcast(rank.tobytes()), light, 8 * parts)
-    scanned = cut(entries.repartition(parts, "block").mapInPandas(_scan, "run long, a binary, b binary"))
-    reps = cut(ids.where("n > 0").groupBy("c").agg(F.min(F.struct("i", "th")).alias("r"), F.first("n").alias("n"), F.first("map").alias("map")).select("c", "r.i", "r.th", "n", "map"))
+    ranks = spark.sparkContext.broadcast(rank.tobytes())
+    entries = _entries(flat, ranks, salts_by_rank(usual_load(counts), held), light, 8 * parts)
+    scanned = cut(entries.repartition(parts, "block").mapInPandas(_scan, _LISTS))
+    best = F.min(F.struct("i", "th")).alias("r")
+    reps = cut(ids.where("n > 0").groupBy("c").agg(best, F.first("n").alias("n"), F.first("map").alias("map")).select("c", "r.i", "r.th", "n", "map"))
     short = scanned.where("run is null").mapInPandas(_unpack, "a long, b long")
-    runs = scanned.where("run is not null").groupBy("run").agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    members = cut(runs.mapInPandas(_members, "run long, c long, s long"))
+    runs = scanned.where("run is not null").groupBy("run", "part").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    members = cut(runs.mapInPandas(_members(chunk, held), "run long, chunk long, many boolean, c long, s long"))
     maps = reps.select("c", "map")
-    lists = members.join(maps, "c").groupBy("run").agg(F.collect_list(F.struct("c", "s", "map")).alias("m"))
-    stars = cut(lists.select("run", F.col("m.c").alias("cs"), F.col("m.s").alias("ss"), F.col("m.map").alias("ms")).mapInPandas(_stars, "run long, a long, b long"))
-    first = cut(_verify(flat, reps, short.unionByName(stars.where("run is null").select("a", "b")).distinct()).distinct())
+    starred, level = [], members
+    while True:
+        m = level.join(maps, "c").groupBy("run", "chunk", "many").agg(F.collect_list(F.struct("c", "s", "map")).alias("m"))
+        lists = m.select("run", "chunk", "many", F.col("m.c").alias("cs"), F.col("m.s").alias("ss"), F.col("m.map").alias("ms"))
+        stars = cut(lists.mapInPandas(_stars, _STARS))
+        starred.append(stars)
+        # The pivots of neighbouring chunks are a chunk of the next level.
+        up = stars.where(F.col("kind") == _PIVOT).withColumn("chunk", F.floor(F.col("chunk") * STARS / F.lit(chunk)))
+        several = up.groupBy("run").agg(F.max("chunk").alias("last"))
+        up = up.join(several, "run").select("run", "chunk", (F.col("last") > 0).alias("many"), F.col("a").alias("c"), F.col("b").alias("s"))
+        if up.isEmpty():
+            break
+        level = cut(up)
+    stars = functools.reduce(DataFrame.unionByName, starred)
+    candidates = short.unionByName(stars.where(F.col("kind") == _PAIR).select("a", "b")).distinct()
+    first = cut(_verify(flat, reps, cut(candidates)).distinct())
     labels = components(first)
-    alive = members.join(stars.where("run is not null").select("run"), "run", "left_semi")
-    labelled = alive.join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "c", "s", F.coalesce("comp", "c").alias("l"))
-    # Most long lists lie within one component by now; only the others are gathered again.
-    mixed = labelled.join(labelled.groupBy("run").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select("run"), "run", "left_semi")
-    lists = mixed.join(maps, "c").groupBy("run").agg(F.collect_list(F.struct("c", "s", "l", "map")).alias("m"))
-    rest = cut(lists.select(F.col("m.c").alias("cs"), F.col("m.s").alias("ss"), F.col("m.l").alias("ls"), F.col("m.map").alias("ms")).mapInPandas(_across, "a long, b long").distinct())
+    alive = members.join(stars.where(F.col("kind") == _ALIVE).select("run").distinct(), "run", "left_semi")
+    labelled = alive.join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "chunk", "c", "s", F.coalesce("comp", "c").alias("l"))
+    # Most long lists lie within one component by now; only the others are looked at again.
+    by_part = labelled.groupBy("run", "l").agg(F.count("*").alias("k"))
+    major = by_part.groupBy("run").agg(F.max_by("l", F.struct("k", "l")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = cut(labelled.join(major.select("run", "top"), "run").withColumn("major", F.col("l") == F.col("top")).join(maps, "c").drop("top"))
+    visits = mixed.where("not major").drop("chunk").join(mixed.select("run", "chunk").distinct(), "run")
+    meeting = mixed.withColumn("visitor", F.lit(False)).unionByName(visits.withColumn("visitor", F.lit(True)))
+    dealt = meeting.repartition("run", "chunk").sortWithinPartitions("run", "chunk", "visitor")
+    rest = cut(dealt.mapInPandas(_across, "a long, b long").distinct())
     if not rest.isEmpty():
         second = _verify(flat, reps, rest)
         up = labels.withColumnRenamed("node", "a").withColumnRenamed("comp", "ca")
@@ -456,11 +567,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         higher = components(over)
         nodes = labels.unionByName(higher.select("node", F.col("node").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
         labels = cut(nodes.join(higher.toDF("comp", "top"), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
-    typed = ids.withColumn("i", F.col("i").cast(kind))
-    named = typed.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "c")))
-    lowest = named.where("n > 0").groupBy("comp").agg(F.min("i").alias("low"))
-    out = named.join(lowest, "comp", "left")
-    return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.col("comp").alias("component"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("i")).alias("component_id"), "th")
+    typed = ids.select(F.col("i").cast(kind).alias("i"), "th", "n", "c")
+    classes = typed.where("n > 0").groupBy("c").agg(F.min("i").alias("least"), F.count("*").alias("copies"))
+    classes = cut(classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c")))
+    lowest = classes.groupBy("comp").agg(F.min("least").alias("low"), F.count("*").alias("k"))
+    placed = spread_join(classes.select("c", "comp", "copies"), lowest, "comp", "k", classes.count())
+    named = spread_join(typed.where("n > 0"), placed, "c", "copies", rows)
+    empty = typed.where("n = 0").select("*", F.lit(None).cast("long").alias("comp"), F.col("i").alias("low"))
+    out = named.unionByName(empty)
+    return out.select(
+        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.col("comp").alias("component"),
+        F.col("low").alias("component_id"), "th",
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
