@@ -16,7 +16,8 @@ at most 2 * SAMPLE numbers. Features are counted exactly, so the model doesn't d
 shuffles is bounded by the sample's words. Scoring is one pass in Arrow batches without a shuffle. The lexicon has at
 most ``TERMS`` entries.
 
-Defined results: a null or empty text has no hits and gets the lowest score; without any labels the lexicon is
+Defined results: a null or empty text has no hits and gets the lowest score; an id with labels of both classes is left
+out of the training, one with several documents trains with one of them (the smallest hash of its texts); without any labels the lexicon is
 empty and all documents get score 0; repeated rows are scored one by one; rows without an id are not held out
 (crc32 of null is null) and never train; extra columns are dropped; an empty table gives an empty result.
 """
@@ -246,13 +247,18 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Lexicon and weights from the labelled rows outside the held-out fold."""
     spark = docs.sparkSession
-    lab = labels.select(labels[id_col].alias("k"), labels[label_col].alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k"))).dropDuplicates(["k"])
+    lab = labels.select(labels[id_col].alias("k"), labels[label_col].alias("y"))
+    lab = lab.where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
+    lab = lab.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     chosen = [r for y in (0, 1) for r in lab.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(7), "k"), "k").limit(sample).collect()]
     if not any(r.y for r in chosen) or all(r.y for r in chosen):
         return Model((), (0.0,) * FEATURES + (-30.0,))
     kind = labels.schema[id_col].dataType.simpleString()
     few = spark.createDataFrame([(r.k, int(r.y)) for r in chosen], f"k {kind}, y int")
-    rows = cut(docs.select(docs[id_col].alias("k"), docs[text_col].alias("t")).join(F.broadcast(few), "k").select("t", "y"))
+    found = docs.select(docs[id_col].alias("k"), docs[text_col].alias("t")).join(F.broadcast(few), "k")
+    # One text for each id, however often the id is repeated.
+    one = found.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t"), "t")).alias("x"))
+    rows = cut(one.select("x.t", "y"))
     toxic, other = rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     if not toxic or not other:
         return Model((), (0.0,) * FEATURES + (-30.0,))
