@@ -21,10 +21,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import as_text, carried, read_table, restored
+from quarry.llm.common import as_text, carried, read_table, restored, sliced, trimmed
 
 #: Characters after which a text is cut at the next safe boundary.
 PIECE = 1 << 16
+#: Documents whose ids are handed over at a time.
+ROWS = 256
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -99,11 +101,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digits = encoder(path or rank_file())[2]
-        for b in batches:
+        for b in sliced(batches, ROWS):
             rows, kept = [], []
             for t in b["t"]:
                 ids = encode(as_text(t), path)
-                rows.append((len(ids), hashlib.sha256(b",".join(map(digits.__getitem__, ids))).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()))
+                joined = hashlib.sha256(b",".join(map(digits.__getitem__, ids))).hexdigest()
+                rows.append((len(ids), joined, hashlib.sha256(decode(ids, path)).hexdigest()))
                 if with_ids:
                     kept.append(np.array(ids, dtype=np.int32))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
@@ -111,7 +114,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             yield out.assign(ids=kept) if with_ids else out
 
     fields = "i string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return restored(_two(docs, id_col, text_col).mapInPandas(run, fields), docs, id_col)
+    return restored(_two(docs, id_col, text_col).mapInPandas(trimmed(run), fields), docs, id_col)
 
 
 def _two(df: DataFrame, id_col: str, col: str) -> DataFrame:

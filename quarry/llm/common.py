@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_filter(df: DataFrame, key: str, bits: int = 24) -> Callable[[Column], Column]:
+    """A test of 64-bit hashes by a filter of 2**bits bits: true for all of ``df``'s keys, and for a share of others.
+    At most 2**bits / 64 numbers come to the driver, whatever the input."""
+    slot = F.pmod(F.col(key), F.lit(1 << bits))
+    word = F.floor(slot / 64).cast("int").alias("w")
+    table = np.zeros((1 << bits) // 64, dtype=np.int64)
+    for r in df.select(word, (slot % 64).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).collect():
+        table[r.w] = r.bits
+    sent = df.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def may_hold(keys: pd.Series) -> pd.Series:
+        at = keys.to_numpy() % (1 << bits)
+        return pd.Series((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return may_hold
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, rows: int) -> DataFrame:
     """Inner join on ``key``; right has one row a key, with the number of its rows in left as ``count`` (dropped).
     Keys with more than a small share of left's ``rows`` rows, of which there can't be many, are joined by broadcast, so
@@ -76,13 +96,29 @@ def as_text(value: object) -> str:
     return "" if missing(value) else str(value)
 
 
-def by_rows(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A ``mapInPandas`` body from a function on one batch."""
+def sliced(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches of fewer rows, for results that are larger than what they are made from."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.iloc[lo : lo + rows]
+
+
+@functools.lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def trimmed(fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A ``mapInPandas`` body that hands freed memory back at its end: workers are used again by later tasks."""
 
     @functools.wraps(fn)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield fn(batch)
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
 
     return run
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import sketch
-from quarry.llm.common import as_text, carried, cut, lower_ascii, mix64, read_table, shingle_sets, spread_join
+from quarry.llm.common import as_text, carried, cut, in_filter, lower_ascii, mix64, read_table, shingle_sets, spread_join, trimmed
 
 WORDS = 5
 #: Linked: DEN * intersection >= NUM * union.
@@ -255,7 +255,7 @@ def _entries(docs: DataFrame, rank, salts: np.ndarray, light: int, blocks: int)
         if held:
             yield from flush()
 
-    return docs.select(docs["t"]).mapInPandas(run, _ENTRIES)
+    return docs.select(docs["t"]).mapInPandas(trimmed(run), _ENTRIES)
 
 
 def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -478,21 +478,10 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     salted = spread_join(pairs, degrees, "a", "k", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
     places = salted.select("a", "salt", F.lit(1).alias("role"), "b").unionByName(salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b")))
     placed = cut(places.join(reps, places.b == reps.c).select("a", "salt", "role", "b", "i", "th"))
-    slot = F.pmod("th", F.lit(1 << FILTER_BITS))
-    words = placed.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits")).collect()
-    table = np.zeros((1 << FILTER_BITS) // 64, dtype=np.int64)
-    for r in words:
-        table[r.w] = r.bits
-    bits = spark.sparkContext.broadcast(table.view(np.uint64))
-
-    @F.pandas_udf("boolean")
-    def wanted(th: pd.Series) -> pd.Series:
-        at = th.to_numpy() % (1 << FILTER_BITS)
-        return pd.Series((bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-
-    found = docs.where(wanted("th")).alias("d").join(placed.alias("p"), (F.col("d.th") == F.col("p.th")) & F.col("d.i").eqNullSafe(F.col("p.i")))
+    wanted = in_filter(placed, "th", FILTER_BITS)
+    found = docs.where(wanted(F.col("th"))).alias("d").join(placed.alias("p"), (F.col("d.th") == F.col("p.th")) & F.col("d.i").eqNullSafe(F.col("p.i")))
     dealt = found.select("p.a", "p.salt", "p.role", "p.b", F.col("d.t").alias("text"))
-    return dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInPandas(_check, "a long, b long")
+    return dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInPandas(trimmed(_check), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -516,7 +505,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     spark = docs.sparkSession
     flat = docs.select(carried(docs, id_col), docs[text_col].alias("t"), F.xxhash64(docs[text_col]).alias("th"))
     kind = docs.schema[id_col].dataType
-    ids = cut(flat.mapInPandas(_measure, "i string, th long, n long, c long, map binary"))
+    ids = cut(flat.mapInPandas(trimmed(_measure), "i string, th long, n long, c long, map binary"))
     rows, counts = sketch.collected(sketch.frequencies(docs, text_col, sets_of))
     total = float(counts.sum())
     rank = frequency_ranks(counts)
@@ -526,7 +515,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total / 4 + rows) * 20 / PART_BYTES))
     ranks = spark.sparkContext.broadcast(rank.tobytes())
     entries = _entries(flat, ranks, salts_by_rank(usual_load(counts), held), light, 8 * parts)
-    scanned = cut(entries.repartition(parts, "block").mapInPandas(_scan, _LISTS))
+    scanned = cut(entries.repartition(parts, "block").mapInPandas(trimmed(_scan), _LISTS))
     best = F.min(F.struct("i", "th")).alias("r")
     reps = cut(ids.where("n > 0").groupBy("c").agg(best, F.first("n").alias("n"), F.first("map").alias("map")).select("c", "r.i", "r.th", "n", "map"))
     short = scanned.where("run is null").mapInPandas(_unpack, "a long, b long")
@@ -537,7 +526,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     while True:
         m = level.join(maps, "c").groupBy("run", "chunk", "many").agg(F.collect_list(F.struct("c", "s", "map")).alias("m"))
         lists = m.select("run", "chunk", "many", F.col("m.c").alias("cs"), F.col("m.s").alias("ss"), F.col("m.map").alias("ms"))
-        stars = cut(lists.mapInPandas(_stars, _STARS))
+        stars = cut(lists.mapInPandas(trimmed(_stars), _STARS))
         starred.append(stars)
         # The pivots of neighbouring chunks are a chunk of the next level.
         up = stars.where(F.col("kind") == _PIVOT).withColumn("chunk", F.floor(F.col("chunk") * STARS / F.lit(chunk)))
@@ -559,7 +548,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     visits = mixed.where("not major").drop("chunk").join(mixed.select("run", "chunk").distinct(), "run")
     meeting = mixed.withColumn("visitor", F.lit(False)).unionByName(visits.withColumn("visitor", F.lit(True)))
     dealt = meeting.repartition("run", "chunk").sortWithinPartitions("run", "chunk", "visitor")
-    rest = cut(dealt.mapInPandas(_across, "a long, b long").distinct())
+    rest = cut(dealt.mapInPandas(trimmed(_across), "a long, b long").distinct())
     if not rest.isEmpty():
         second = _verify(flat, reps, rest)
         up = labels.withColumnRenamed("node", "a").withColumnRenamed("comp", "ca")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_text, carried, read_table, restored
+from quarry.llm.common import as_text, carried, read_table, restored, trimmed
 
 #: Fixed values of the query's contract: kinds, in their order, and patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -390,7 +390,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = [f"c{k}" for k in range(len(docs.columns))]
     kinds = [f.dataType for f in docs.schema]
     flat = docs.toDF(*names).select(names[i], *(F.col(n).cast("string").alias(n) for k, n in enumerate(names) if k != i))
-    return flat.mapInPandas(run, flat.schema).select(*(F.col(n).cast(k).alias(n) for n, k in zip(names, kinds, strict=True))).toDF(*docs.columns)
+    return flat.mapInPandas(trimmed(run), flat.schema).select(*(F.col(n).cast(k).alias(n) for n, k in zip(names, kinds, strict=True))).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import carried, cut, missing, read_table, restored
+from quarry.llm.common import carried, cut, missing, read_table, restored, trimmed
 
 MIN_TEXTS = 20
 SHARE = 0.02
@@ -135,7 +135,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str, host_col: str, measured:
     rows = docs.select(
         carried(docs, id_col), docs[text_col].alias("t"), host_key(docs[host_col]).alias("host"), F.xxhash64(docs[text_col]).alias("th")
     )
-    return cut(rows.mapInPandas(_described(measured), _BASE)).withColumn("rid", F.monotonically_increasing_id())
+    return cut(rows.mapInPandas(trimmed(_described(measured)), _BASE)).withColumn("rid", F.monotonically_increasing_id())
 
 
 def _lines(base: DataFrame) -> DataFrame:

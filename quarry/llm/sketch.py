@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import trimmed
+
 BITS = 22
 SEGMENT = 1 << 16
 #: Tasks whose tables are added up at the first level.
@@ -64,8 +66,8 @@ def frequencies(docs: DataFrame, text_col: str, sets: Callable[[list[object]], l
             yield pd.DataFrame({"segment": pd.Series([k], dtype="int32"), "salt": pd.Series([0], dtype="int32"), "docs": [n[k]], "counts": [zlib.compress(part.tobytes(), 1)]})
 
     texts = docs.select(docs[text_col].alias("t"))
-    parts = texts.mapInPandas(count, _SCHEMA).repartition("segment", "salt").mapInPandas(add, _SCHEMA)
-    return parts.repartition("segment").mapInPandas(add, _SCHEMA)
+    parts = texts.mapInPandas(trimmed(count), _SCHEMA).repartition("segment", "salt").mapInPandas(trimmed(add), _SCHEMA)
+    return parts.repartition("segment").mapInPandas(trimmed(add), _SCHEMA)
 
 
 def collected(table: DataFrame) -> tuple[int, np.ndarray]:

@@ -33,7 +33,10 @@ def test_stages(spark):
     assert all(clean.get(r.doc_id, r.text) == r.text for r in masked)
     rows, mixed = seen["source_mixing"]
     times = Counter(r.doc_id for r in mixed)
-    assert max(times.values()) <= 2 and set(times) <= {r.doc_id for r in rows} and len(mixed) > len(rows)
+    words = Counter()
+    for r in mixed:
+        words[r.doc_id] += len(r.text.split())
+    assert all(words[r.doc_id] <= 2 * len(r.text.split()) for r in rows) and set(times) <= {r.doc_id for r in rows} and len(mixed) > len(rows)
     rows, coded = seen["bpe_codec"]
     assert len(rows) == len(coded) and {(r.doc_id, bpe_codec.decode(r.ids)) for r in coded} == {(r.doc_id, r.text.encode()) for r in rows}
 
