@@ -18,7 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: Spark's default, and what suits whole texts (a batch is in memory several times over).
+_USUAL_ROWS, TEXT_ROWS = "10000", "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless another size than Spark's default is set."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", _USUAL_ROWS) == _USUAL_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
