@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe_codec, jaccard, mixing, pii, quality
-from quarry.llm.common import cut, ensure_checkpoint_dir, in_filter
+from quarry.llm.common import cut, ensure_checkpoint_dir, in_filter, read_table
 
 #: Decisions (three numbers each) that are broadcast at most; more are shuffled with the texts in question.
 BROADCAST_ROWS = 500_000
@@ -94,7 +94,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, base)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
