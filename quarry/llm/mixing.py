@@ -183,7 +183,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
     partial = (F.col("_x.a") > 0) | (F.col("_x.b") < F.col("size"))
     # Whole texts aren't sent to Python.
-    out = each.withColumn("_part", part(F.when(partial, F.col(text_col)), F.col("_x.a"), F.col("_x.b")))
+    # Called nondeterministic, it isn't evaluated a second time for the length.
+    out = each.withColumn("_part", part.asNondeterministic()(F.when(partial, F.col(text_col)), F.col("_x.a"), F.col("_x.b")))
     out = out.withColumn(text_col, F.coalesce("_part", text_col))
     if length_col:
         out = out.withColumn(length_col, F.when(partial, F.char_length("_part").cast("long")).otherwise(F.col(length_col)))

@@ -214,7 +214,8 @@ def cleaned(
 
     names = [f"c{k}" for k in range(len(docs.columns))]
     text, host = (F.col(names[docs.columns.index(c)]) for c in (text_col, host_col))
-    out = docs.toDF(*names).withColumn("_x", judged(text, F.xxhash64(host_key(host)))).where("_x.kept")
+    # Called nondeterministic, it isn't evaluated a second time for the filter.
+    out = docs.toDF(*names).withColumn("_x", judged.asNondeterministic()(text, F.xxhash64(host_key(host)))).where("_x.kept")
     # Only a text that lost lines comes back from Python.
     return out.withColumn(names[docs.columns.index(text_col)], F.coalesce("_x.less", text)).select(*names).toDF(*docs.columns)
 
