@@ -539,12 +539,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     candidates = short.unionByName(stars.where(F.col("kind") == _PAIR).select("a", "b")).distinct()
     first = cut(_verify(flat, reps, cut(candidates)).distinct())
     labels = components(first)
-    alive = members.join(stars.where(F.col("kind") == _ALIVE).select("run").distinct(), "run", "left_semi")
+    entries = members.count()
+    sizes = members.groupBy("run").agg(F.count("*").alias("k"))
+    alive = spread_join(members, sizes.join(stars.where(F.col("kind") == _ALIVE).select("run").distinct(), "run"), "run", "k", entries)
     labelled = alive.join(labels.withColumnRenamed("node", "c"), "c", "left").select("run", "chunk", "c", "s", F.coalesce("comp", "c").alias("l"))
     # Most long lists lie within one component by now; only the others are looked at again.
     by_part = labelled.groupBy("run", "l").agg(F.count("*").alias("k"))
-    major = by_part.groupBy("run").agg(F.max_by("l", F.struct("k", "l")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = cut(labelled.join(major.select("run", "top"), "run").withColumn("major", F.col("l") == F.col("top")).join(maps, "c").drop("top"))
+    major = by_part.groupBy("run").agg(F.max_by("l", F.struct("k", "l")).alias("top"), F.count("*").alias("comps"), F.sum("k").alias("k"))
+    major = major.where("comps > 1").select("run", "top", "k")
+    mixed = cut(spread_join(labelled, major, "run", "k", entries).withColumn("major", F.col("l") == F.col("top")).join(maps, "c").drop("top"))
     visits = mixed.where("not major").drop("chunk").join(mixed.select("run", "chunk").distinct(), "run")
     meeting = mixed.withColumn("visitor", F.lit(False)).unionByName(visits.withColumn("visitor", F.lit(True)))
     dealt = meeting.repartition("run", "chunk").sortWithinPartitions("run", "chunk", "visitor")
