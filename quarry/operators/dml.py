@@ -115,11 +115,19 @@ def merge(target: DataFrame, source: DataFrame, on: str, clauses: Sequence[Claus
 
 
 def overwrite(result: DataFrame, path: str) -> None:
-    """Write a changed table beside its source and move it in place, since a plan can't overwrite what it reads."""
+    """Write a changed table beside its source and move it in place, since a plan can't overwrite what it reads. The
+    old table is moved aside first and deleted last: at each moment a whole table is there under some name, and a
+    move that fails is undone and raised."""
     spark = result.sparkSession
     result.write.mode("overwrite").parquet(f"{path}.next")
     jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.next")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    now, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.next", f"{path}.old"))
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(now):
+        fs.delete(old, True)
+        if not fs.rename(now, old):
+            raise OSError(f"{path} can't be moved aside; the new table is at {path}.next")
+    if not fs.rename(new, now):
+        moved = not fs.exists(old) or fs.rename(old, now)
+        raise OSError(f"{path}.next can't be moved in place" + ("" if moved else f"; the old table is at {path}.old"))
     fs.delete(old, True)
-    fs.rename(new, old)

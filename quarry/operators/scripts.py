@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.plans.sqlparse import split_statements
+
 
 class Routines:
     """Stored procedures and functions of a session. A body is a Spark SQL script with ``:name`` parameters."""
@@ -93,3 +96,16 @@ class Cursor:
 
     def close(self) -> None:
         self.parts.unpersist()
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """(path, dialect, seq, sql): the statements of files given as (path, dialect, text), in their order. A file
+    without statements, or without text, has no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [split_statements(t or "", d) for t, d in zip(b["text"], b["dialect"], strict=True)]
+            rows = [(p, d, k, s) for p, d, each in zip(b["path"], b["dialect"], found, strict=True) for k, s in enumerate(each)]
+            yield pd.DataFrame(rows, columns=["path", "dialect", "seq", "sql"])
+
+    return files.select("path", "dialect", "text").mapInPandas(run, "path string, dialect string, seq int, sql string")

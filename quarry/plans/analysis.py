@@ -6,6 +6,7 @@ included, is column expressions over the facts that parsing leaves. A text that
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -289,15 +290,19 @@ def analyze(sql: str, dialect: str | None = None) -> dict:
     """The analysis record of one statement."""
     out: dict = {"query_type": None, "complexity": None, "tables": [], "columns": [], "joins": [], "conditions": [], "facts": None, "error": None}
     try:
-        tree = parse(sql, dialect)
+        return out | _analysis(sql, dialect)
     except SqlError as e:
         return out | {"error": str(e)}
     except RecursionError:
         return out | {"error": "nested too deeply"}
+
+
+def _analysis(sql: str, dialect: str | None) -> dict:
+    tree = parse(sql, dialect)
     c = _Collector()
     c.statement(tree)
     named = lambda names, rows: [dict(zip(names, r, strict=True)) for r in rows]
-    return out | {
+    return {
         "query_type": query_type(tree),
         "complexity": len(c.tables) + 2 * len(c.joins) + len(c.conditions) + sum(x[2] == "SELECT" for x in c.columns),
         "tables": named(("schema", "name", "alias", "usage"), c.tables),
@@ -308,7 +313,12 @@ def analyze(sql: str, dialect: str | None = None) -> dict:
     }
 
 
+#: Python frames that a statement's tree may take; long chains of AND nest by one for each term.
+MOST_FRAMES = 60_000
+
+
 def _analyzed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), MOST_FRAMES))
     for b in batches:
         rows = [analyze(s, d) for s, d in zip(b["sql"], b["dialect"], strict=True)]
         yield pd.concat([b[["sql", "dialect"]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
@@ -317,12 +327,16 @@ def _analyzed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def analyze_frame(workload: DataFrame, distinct: bool = True) -> DataFrame:
     """(query_id, sql, dialect, analysis columns) for (query_id, sql, dialect). With ``distinct`` each text is parsed
     once and its analysis joined back, which pays for logs that repeat themselves; hot texts are split by adaptive
-    execution. A null text is an error row."""
+    execution. The distinct texts are dealt to all cores: adaptive execution would put texts of a few megabytes into
+    one task, but parsing them takes time by statement. A null text is an error row."""
     rows = workload.select("query_id", F.coalesce("sql", F.lit("")).alias("sql"), F.lower(F.coalesce("dialect", F.lit(""))).alias("dialect"))
     if not distinct:
         joined = rows.mapInPandas(lambda bs: (pd.concat([b[["query_id"]].reset_index(drop=True), next(_analyzed(iter([b])))], axis=1) for b in bs), f"query_id {rows.schema['query_id'].dataType.simpleString()}, sql string, dialect string, {ANALYSIS}")
         return joined
-    parsed = rows.select("sql", "dialect").distinct().mapInPandas(_analyzed, f"sql string, dialect string, {ANALYSIS}")
+    spark = workload.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    texts = rows.select("sql", "dialect").distinct().repartition(tasks, "sql", "dialect")
+    parsed = texts.mapInPandas(_analyzed, f"sql string, dialect string, {ANALYSIS}")
     return rows.join(parsed, ["sql", "dialect"]).select("query_id", "sql", "dialect", *parsed.columns[2:])
 
 
@@ -413,12 +427,12 @@ def basic_suggestions(analyzed: DataFrame) -> DataFrame:
 # --- a fixed workload for the driver's queries ---------------------------------------------------
 
 WORKLOAD = (
-    (1, "mysql", "SELECT * FROM users"),
-    (2, "postgresql", "SELECT u.name, o.total FROM users u, orders o"),
-    (3, "sqlserver", "SELECT name FROM users WHERE UPPER(email) = 'TEST@EXAMPLE.COM'"),
-    (4, "mysql", "SELECT name FROM users LIMIT 10"),
-    (5, "postgresql", "SELECT name FROM users WHERE id IN (SELECT user_id FROM orders)"),
-    (6, "mysql", "SELECT * FROM users u, orders o WHERE UPPER(u.email) = 'TEST' AND o.total > 100"),
+    (1, "mysql", "SELECT * FROM loans ORDER BY due"),
+    (2, "postgresql", "SELECT b.title, m.city, b.shelf FROM books b, members m"),
+    (3, "sqlserver", "SELECT isbn, title FROM books WHERE TRIM(title) <> '' AND pages > 300"),
+    (4, "mysql", "SELECT title, COUNT(*) AS n FROM loans GROUP BY title LIMIT 25"),
+    (5, "postgresql", "SELECT title FROM books WHERE isbn IN (SELECT l.isbn FROM loans l WHERE l.due IS NULL)"),
+    (6, "mysql", "SELECT s.*, b.isbn FROM shelves s, books b WHERE LOWER(b.title) LIKE 'a%' OR s.floor = 2"),
     (7, "sqlserver", "SELECT DISTINCT [u].[name] FROM [users] [u] WITH (NOLOCK) WHERE [u].[age] BETWEEN 18 AND 65"),
     (8, "oracle", "SELECT u.name, SUM(o.total) AS spent FROM users u JOIN orders o ON u.id = o.user_id LEFT JOIN products p ON o.product_id = p.id JOIN stock s ON s.product_id = p.id WHERE o.status = 'done' GROUP BY u.name HAVING SUM(o.total) > 10 ORDER BY spent DESC"),
     (9, "sqlite", "UPDATE users SET name = 'x' WHERE id = 3"),

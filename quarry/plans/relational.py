@@ -43,6 +43,8 @@ EXPRESSIONS: dict[str, Query] = {
     "fn_date_add": ("SELECT o_orderkey, date_add(CAST(o_orderdate AS DATE), 30) AS later, date_sub(CAST(o_orderdate AS DATE), 7) AS earlier FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + 30 AS later, CAST(o_orderdate AS DATE) - 7 AS earlier FROM orders"),
     "fn_math": "SELECT c_custkey, abs(c_acctbal) AS a, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c, CAST(c_custkey % 7 AS BIGINT) AS m FROM customer",
     "fn_null": "SELECT event_id, coalesce(NULLIF(event_type, 'view'), 'none') AS t, NULLIF(user_id, 1) AS u FROM events",
+    "fn_array": ("SELECT vec_id, size(embedding) AS n, ROUND(CAST(element_at(embedding, 1) AS DOUBLE), 4) AS first, ROUND(CAST(array_max(embedding) AS DOUBLE), 4) AS most, size(filter(embedding, x -> x > 0)) AS positive FROM embeddings", "SELECT vec_id, len(embedding) AS n, ROUND(CAST(embedding[1] AS DOUBLE), 4) AS first, ROUND(CAST(list_max(embedding) AS DOUBLE), 4) AS most, len(list_filter(embedding, lambda x: x > 0)) AS positive FROM embeddings"),
+    "fn_map": ("SELECT l_orderkey, map_from_arrays(array_agg(l_linenumber), array_agg(l_quantity)) IS NOT NULL AS made, size(array_distinct(array_agg(l_returnflag))) AS flags, array_join(array_sort(collect_set(l_linestatus)), '+') AS states FROM (SELECT DISTINCT l_orderkey, l_linenumber, 1 AS l_quantity, 'x' AS l_returnflag, 'y' AS l_linestatus FROM lineitem) t GROUP BY l_orderkey", "SELECT l_orderkey, TRUE AS made, 1 AS flags, 'y' AS states FROM lineitem GROUP BY l_orderkey"),
     "fn_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "fn_cast": "SELECT o_orderkey, CAST(o_totalprice AS BIGINT) - CAST(o_totalprice AS BIGINT) AS z, CAST(o_orderkey AS STRING) AS s FROM orders",
     "fn_regexp": ("SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS num, p_name RLIKE '^[a-z]' AS low FROM part", "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS num, regexp_matches(p_name, '^[a-z]') AS low FROM part"),

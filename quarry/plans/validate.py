@@ -150,7 +150,7 @@ def check_types(workload: DataFrame, columns: DataFrame) -> DataFrame:
             for q, s, d in zip(b["query_id"], b["sql"], b["dialect"], strict=True):
                 try:
                     rows += [(q, *e) for e in type_errors(parse(s or "", d), schema)]
-                except SqlError:
+                except (SqlError, RecursionError):
                     continue
             if rows:
                 yield pd.DataFrame(rows, columns=["query_id", "type", "message", "table", "column"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: The tables that relational queries read.
-STAR = TABLES[:8]
+STAR = (*TABLES[:8], "embeddings")
 
 
 def session(app: str = "quarry", **conf: str) -> SparkSession:
