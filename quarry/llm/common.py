@@ -68,14 +68,14 @@ def in_filter(df: DataFrame, key: str, bits: int = 24) -> Callable[[Column], Col
     return may_hold
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], count: str, rows: int) -> DataFrame:
     """Inner join on ``key``; right has one row a key, with the number of its rows in left as ``count`` (dropped).
     Keys with more than a small share of left's ``rows`` rows, of which there can't be many, are joined by broadcast, so
     that no key's rows meet in a task."""
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bound = rows / (8 * tasks)  # so at most 8 * tasks keys are over it
     hot, cold = right.where(F.col(count) > bound).drop(count), right.where(F.col(count) <= bound).drop(count)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = left.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti")
     return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 

@@ -11,9 +11,8 @@ near copies share. ``verdicts`` measures whole texts; ``cleaned`` gives the kept
 A document also fails on the base rules: fewer than 50 words, or most of its words in repeated three-word windows.
 
 Scale: texts are read once, in Arrow batches; what moves is one row (host, line, text) for each distinct line of a
-document. Counting is a two-step distinct count with map-side sums. The common lines go back to the documents by a
-semi-join that adaptive execution can split where a line is in a third of all documents, and sums by row are
-partial before they move. For ``cleaned`` up to ``COMMON_KEYS`` common lines (8 bytes each) are shipped and the texts
+document. Counting is a two-step distinct count with map-side sums. Lines over the limit go back to the documents by a
+join in which hot ones, say in a third of all documents, are broadcast, and sums by row are partial before they move. For ``cleaned`` up to ``COMMON_KEYS`` common lines (8 bytes each) are shipped and the texts
 stay where they are; beyond that the texts move once, to the hashes of their common lines.
 
 Defined results: a null text has no words and fails the base rules; null hosts are one host; a text of white space
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import carried, cut, missing, read_table, restored, trimmed
+from quarry.llm.common import carried, cut, missing, read_table, restored, spread_join, trimmed
 
 MIN_TEXTS = 20
 SHARE = 0.02
@@ -144,22 +143,27 @@ def _lines(base: DataFrame) -> DataFrame:
     return each.select("rid", "host", "th", "n_words", F.col("x.h").alias("line"), F.col("x.w").alias("words"))
 
 
+def _n_lines(base: DataFrame) -> int:
+    return base.agg(F.sum(F.size("h"))).first()[0] or 0
+
+
 def common_lines(base: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE, most_texts: int = MOST_TEXTS) -> DataFrame:
-    """(host, line) of the common lines."""
+    """(host, line, rows) of the common lines, with the number of rows that hold them."""
     lines = _lines(base)
     part = F.least(F.count_distinct("th") * F.lit(share), F.lit(float(most_texts)))
     limit = base.groupBy("host").agg(F.greatest(F.lit(float(min_texts)), part).alias("limit"))
     # A line found in no more than min_texts texts is under every host's limit: the host join sees few lines.
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") > min_texts)
-    over = counts.join(limit, "host").where(F.col("texts") > F.col("limit")).select("host", "line", "limit")
-    held = lines.join(over, ["host", "line"]).select("rid", "host", "th", "n_words", "line", "words", "limit")
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("th").alias("texts"), F.count("*").alias("rows"))
+    over = counts.where(F.col("texts") > min_texts).join(limit, "host").where(F.col("texts") > F.col("limit"))
+    over = cut(over.select("host", "line", "limit", "rows", F.col("rows").alias("k")))
+    held = spread_join(lines, over, ["host", "line"], "k", _n_lines(base))
     # Rows of documents that may be near copies, by what stands for them.
     group = held.groupBy("rid").agg(F.sum("words").alias("shared"), F.min("line").alias("first"), F.first("n_words").alias("n"))
     copies = group.where(F.col("shared") > F.lit(COPY_SHARE) * F.col("n")).select("rid", "first")
     # A text's hash and a line's hash are told apart by their signs' column.
     told = held.join(copies, "rid", "left").withColumn("own", F.coalesce("first", "th")).withColumn("copy", F.col("first").isNotNull())
-    independent = told.groupBy("host", "line").agg(F.count_distinct("copy", "own").alias("texts"), F.first("limit").alias("limit"))
-    return independent.where(F.col("texts") > F.col("limit")).select("host", "line")
+    independent = told.groupBy("host", "line", "limit", "rows").agg(F.count_distinct("copy", "own").alias("texts"))
+    return independent.where(F.col("texts") > F.col("limit")).select("host", "line", "rows")
 
 
 def judge(
@@ -170,7 +174,7 @@ def judge(
     base_failed, kept), one row for each row of ``docs``."""
     base = _base(docs, id_col, text_col, host_col, True)
     common = common_lines(base, min_texts, share, most_texts)
-    lost = _lines(base).join(common, ["host", "line"], "left_semi").groupBy("rid")
+    lost = spread_join(_lines(base), cut(common), ["host", "line"], "rows", _n_lines(base)).groupBy("rid")
     removed = lost.agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_list("line")).alias("removed"))
     out = base.drop("h", "w").join(removed, "rid", "left")
     for name, value in (("removed_words", F.col("removed_words")), ("n_removed_lines", F.size("removed"))):
