@@ -27,6 +27,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,7 +107,8 @@ def mix(
     slots = cut(sized.groupBy("_src", "_slot").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     sources = slots.groupBy("_src").agg(F.sum("n"), F.sum("size")).collect()  # a row for each source
     plan = _source_plan([tuple(r) for r in sources], block)
-    by_source = spark.createDataFrame(plan, "_src string, _shards int, source_size long, target double, _blocks long")
+    # From an Arrow table no Python workers are started for it, as they would be from rows.
+    by_source = spark.createDataFrame(_plan_table(plan))
     table = _shard_plan(slots, by_source, seed, block)
     # Joined by broadcast the tables cost no shuffle by source, whose hot keys would meet in a task. Beyond this size
     # they're joined like any other.
@@ -143,6 +145,11 @@ def _source_plan(sources: list[tuple[str, int, int]], block: int) -> list[tuple]
     return [(s, max(1, min(SLOTS, n // SHARD_DOCS)), size, t, q) for (s, n, size), t, q in zip(rows, want, quotas, strict=True)]
 
 
+def _plan_table(plan: list[tuple]) -> pa.Table:
+    kinds = (("_src", pa.string()), ("_shards", pa.int32()), ("source_size", pa.int64()), ("target", pa.float64()), ("_blocks", pa.int64()))
+    return pa.table({name: pa.array([r[k] for r in plan], type=kind) for k, (name, kind) in enumerate(kinds)})
+
+
 def _shard_plan(slots: DataFrame, by_source: DataFrame, seed: int, block: int) -> DataFrame:
     """(source, shard, tokens, quota in tokens, start), a row for each shard with documents."""
 
