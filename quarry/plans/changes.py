@@ -187,7 +187,7 @@ def as_of(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
     buys = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("view_id"))
-    return joins.as_of(buys, views, ["user_id"], "ts", "seen", ["view_id"]).select("event_id", "view_id")
+    return joins.as_of(buys, views, ["user_id"], "ts", "seen", ["view_id"], bucket=86400.0).select("event_id", "view_id")
 
 
 def salted(spark: SparkSession, d: str) -> DataFrame:
@@ -199,12 +199,21 @@ def top_percent(spark: SparkSession, d: str) -> DataFrame:
     return joins.top_percent(_orders(spark, d).select("o_orderkey", "o_totalprice"), 2, [F.desc("o_totalprice"), "o_orderkey"])
 
 
+def range_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of very different widths: most touch a bin or two, some thousands."""
+    e = table(spark, d, "events").select("event_id", F.col("value").alias("v"))
+    wide = F.when(F.col("p_partkey") % 50 == 0, 200.0).otherwise(0.25)
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 3.0).alias("lo"), (F.col("p_size") * 3.0 + wide).alias("hi"))
+    met = joins.range_join(e, p, F.col("v"), F.col("lo"), F.col("hi"), 0.5)
+    return met.groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
 QUERIES = {
     "dml_insert_values": insert_values, "dml_insert_columns": insert_columns, "dml_insert_select": insert_select, "dml_update_where": update_where, "dml_update_limit": update_limit, "dml_update_subquery": update_subquery,
     "dml_delete_where": delete_where, "dml_delete_exists": delete_exists, "dml_delete_limit": delete_limit, "merge_upsert": merge_upsert, "merge_delete": merge_delete, "merge_conditional": merge_conditional, "merge_by_source": merge_by_source,
     "ddl_view": ddl_view, "ddl_alter_add_drop_rename": ddl_alter, "ddl_create_table_as": ctas, "constraint_fk_violations": fk_violations, "constraint_pk_duplicates": pk_duplicates,
     "script_while_sum": script_while, "script_if": script_if, "script_for": script_for, "script_loop_repeat": script_loops, "script_case": script_case, "script_exit_handler": script_handler, "routine_procedure": routine_procedure, "routine_function": routine_function, "cursor_scroll": cursor_scroll,
-    "tx_rollback_to_savepoint": tx_savepoint, "tx_rollback": tx_rollback, "join_range_binned": range_binned, "join_asof": as_of, "join_salted": salted, "top_percent": top_percent,
+    "tx_rollback_to_savepoint": tx_savepoint, "tx_rollback": tx_rollback, "join_range_binned": range_binned, "join_range_wide": range_wide, "join_asof": as_of, "join_salted": salted, "top_percent": top_percent,
 }
 
 _MATCH = f"SELECT t.c_custkey, t.c_acctbal, t.c_nationkey, s.k, s.bal FROM {_TARGET} t LEFT JOIN {_CHANGES} s ON t.c_custkey = s.k"
@@ -240,6 +249,7 @@ ORACLES = {
     "tx_rollback_to_savepoint": "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 0",
     "tx_rollback": "SELECT * FROM nation",
     "join_range_binned": "SELECT event_id, p_partkey FROM events JOIN part ON value >= p_size * 2.0 AND value <= p_size * 2.0 + 0.5",
+    "join_range_wide": "SELECT p_partkey, COUNT(*) AS n, MIN(event_id) AS first_event FROM events JOIN part ON value >= p_size * 3.0 AND value <= p_size * 3.0 + CASE WHEN p_partkey % 50 = 0 THEN 200.0 ELSE 0.25 END GROUP BY p_partkey",
     "join_asof": "SELECT b.event_id, (SELECT v.event_id FROM events v WHERE v.event_type = 'view' AND v.user_id = b.user_id AND v.ts <= b.ts ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) AS view_id FROM events b WHERE b.event_type = 'purchase'",
     "join_salted": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
     "top_percent": "SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, o_totalprice, ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn, COUNT(*) OVER () AS n FROM orders) t WHERE rn <= CEIL(n * 2 / 100.0)",

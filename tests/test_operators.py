@@ -53,6 +53,27 @@ def test_range_join_each_pair_once(spark):
     assert rows(joins.range_join(a, b, F.col("v"), F.col("lo"), F.col("hi"), 3.0).select("i", "j")) == [(1, 1), (1, 2), (2, 1)]
 
 
+def test_range_join_takes_wide_intervals_to_wider_bins(spark):
+    a = spark.range(400).selectExpr("id AS i", "CAST(id * 13 % 997 AS DOUBLE) AS v")
+    spans = [(1, 0.0, 0.0), (2, -1e9, 1e9), (3, 5.0, 70.0), (4, 100.0, 164.0), (5, 3.5, 3.9), (6, 7.0, 6.0), (7, None, 9.0), (8, 0.0, 996.0)]
+    b = spark.createDataFrame(spans, "j int, lo double, hi double")
+    got = joins.range_join(a, b, F.col("v"), F.col("lo"), F.col("hi"), 0.01)
+    want = a.join(b, (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    assert rows(got.select("i", "j")) == rows(want.select("i", "j"))
+    assert joins.range_join(a, b.limit(0), F.col("v"), F.col("lo"), F.col("hi"), 1.0).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["double", "timestamp", "timestamp_ntz", "int"])
+def test_as_of_is_the_same_in_buckets(spark, kind):
+    at = f"CAST(CAST({{}} AS TIMESTAMP) AS {kind})" if kind.startswith("timestamp") else f"CAST({{}} AS {kind})"
+    left = spark.range(300).selectExpr("id", "id % 3 AS k", f"{at.format('id * 37 % 5000')} AS t").union(spark.sql(f"SELECT -1L, 0L, CAST(NULL AS {kind})"))
+    right = spark.range(60).selectExpr("id % 4 AS k", f"{at.format('id * 911 % 4000')} AS s", "id AS r")
+    plain, dealt = (rows(joins.as_of(left, right, ["k"], "t", "s", ["r"], bucket=b).select("id", F.coalesce("r", F.lit(-1)))) for b in (None, 100.0))
+    assert plain == dealt and len(plain) == 301 and dict(plain)[-1] == -1
+    brute = left.join(right, (left.k == right.k) & (right.s <= left.t), "left").groupBy("id").agg(F.max(F.struct("s", "r")).r.alias("r"))
+    assert plain == rows(brute.select("id", F.coalesce("r", F.lit(-1))))
+
+
 def test_transaction_and_cursor(spark):
     tx = scripts.Transaction({"t": spark.range(3)})
     tx.savepoint("a")
