@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,31 @@ FEATURES = ("CTE", "WINDOW_FUNCTIONS", "JSON", "ARRAY", "RECURSIVE_CTE", "PARTIT
 COMMON_TYPES = "INT INTEGER BIGINT SMALLINT TINYINT DECIMAL NUMERIC FLOAT REAL DOUBLE VARCHAR CHAR TEXT NVARCHAR NCHAR DATE TIME DATETIME TIMESTAMP BOOLEAN BOOL BIT BLOB BINARY VARBINARY".split()
 COMMON_RESERVED = "ALL AND AS ASC BETWEEN BY CASE CHECK COLUMN CONSTRAINT CREATE CROSS DEFAULT DELETE DESC DISTINCT DROP ELSE END EXISTS FOREIGN FROM FULL GROUP HAVING IN INDEX INNER INSERT INTO IS JOIN KEY LEFT LIKE LIMIT NOT NULL ON OR ORDER OUTER PRIMARY REFERENCES RIGHT SELECT SET TABLE THEN UNION UNIQUE UPDATE USING VALUES VIEW WHEN WHERE WITH".split()
 
+#: MySQL's words besides the common ones, and all words of PostgreSQL.
+_MYSQL_RESERVED = """
+    ADD ALTER ANALYZE ASENSITIVE BEFORE BIGINT BINARY BLOB BOTH CALL CASCADE CHANGE CHAR CHARACTER COLLATE CONDITION
+    CONTINUE CONVERT CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP CURRENT_USER CURSOR DATABASE DATABASES DAY_HOUR
+    DAY_MICROSECOND DAY_MINUTE DAY_SECOND DEC DECIMAL DECLARE DELAYED DESCRIBE DETERMINISTIC DISTINCTROW DIV DOUBLE DUAL
+    EACH ELSEIF ENCLOSED ESCAPED EXIT EXPLAIN FALSE FETCH FLOAT FLOAT4 FLOAT8 FOR FORCE FULLTEXT GRANT HIGH_PRIORITY
+    HOUR_MICROSECOND HOUR_MINUTE HOUR_SECOND IF IGNORE INFILE INOUT INSENSITIVE INT INT1 INT2 INT3 INT4 INT8 INTEGER
+    INTERVAL ITERATE KEYS KILL LEADING LEAVE LINEAR LINES LOAD LOCALTIME LOCALTIMESTAMP LOCK LONG LONGBLOB LONGTEXT LOOP
+    LOW_PRIORITY MATCH MEDIUMBLOB MEDIUMINT MEDIUMTEXT MIDDLEINT MINUTE_MICROSECOND MINUTE_SECOND MOD MODIFIES NATURAL
+    NO_WRITE_TO_BINLOG NUMERIC OPTIMIZE OPTION OPTIONALLY OUT OUTFILE PRECISION PROCEDURE PURGE RANGE READ READS REAL
+    REGEXP RELEASE RENAME REPEAT REPLACE REQUIRE RESTRICT RETURN REVOKE RLIKE SCHEMA SCHEMAS SECOND_MICROSECOND SENSITIVE
+    SEPARATOR SHOW SMALLINT SPATIAL SPECIFIC SQL SQLEXCEPTION SQLSTATE SQLWARNING SQL_BIG_RESULT SQL_CALC_FOUND_ROWS
+    SQL_SMALL_RESULT SSL STARTING STRAIGHT_JOIN TERMINATED TINYBLOB TINYINT TINYTEXT TO TRAILING TRIGGER TRUE UNDO UNLOCK
+    UNSIGNED USAGE USE UTC_DATE UTC_TIME UTC_TIMESTAMP VARBINARY VARCHAR VARCHARACTER VARYING WHILE WRITE X509 XOR
+    YEAR_MONTH ZEROFILL
+"""
+_POSTGRESQL_RESERVED = """
+    ALL ANALYSE ANALYZE AND ANY ARRAY AS ASC ASYMMETRIC AUTHORIZATION BINARY BOTH CASE CAST CHECK COLLATE COLLATION COLUMN
+    CONCURRENTLY CONSTRAINT CREATE CROSS CURRENT_CATALOG CURRENT_DATE CURRENT_ROLE CURRENT_SCHEMA CURRENT_TIME
+    CURRENT_TIMESTAMP CURRENT_USER DEFAULT DEFERRABLE DESC DISTINCT DO ELSE END EXCEPT FALSE FETCH FOR FOREIGN FREEZE FROM
+    FULL GRANT GROUP HAVING ILIKE IN INITIALLY INNER INTERSECT INTO IS ISNULL JOIN LATERAL LEADING LEFT LIKE LIMIT
+    LOCALTIME LOCALTIMESTAMP NATURAL NOT NOTNULL NULL OFFSET ON ONLY OR ORDER OUTER OVERLAPS PLACING PRIMARY REFERENCES
+    RETURNING RIGHT SELECT SESSION_USER SIMILAR SOME SYMMETRIC TABLE TABLESAMPLE THEN TO TRAILING TRUE UNION UNIQUE USER
+    USING VARIADIC VERBOSE WHEN WHERE WINDOW WITH
+"""
 
 @dataclass(frozen=True)
 class Dialect:
@@ -33,14 +59,14 @@ class Dialect:
         return word.upper() in self.reserved
 
 
-def _make(name: str, quotes: str, features: str, types: str, reserved: str, limit: str = "Standard", **kw: bool) -> Dialect:
-    return Dialect(name, quotes[0], quotes[1], frozenset(features.split()), tuple(dict.fromkeys([*COMMON_TYPES, *types.split(",")])), frozenset([*COMMON_RESERVED, *reserved.split()]), limit, **kw)
+def _make(name: str, quotes: str, features: str, types: str, reserved: str, limit: str = "Standard", base: Sequence[str] = COMMON_RESERVED, **kw: bool) -> Dialect:
+    return Dialect(name, quotes[0], quotes[1], frozenset(features.split()), tuple(dict.fromkeys([*COMMON_TYPES, *types.split(",")])), frozenset([*base, *reserved.split()]), limit, **kw)
 
 
 _BASIC = "CTE WINDOW_FUNCTIONS JSON"
 DIALECTS = {
-    "mysql": _make("MySQL", "``", f"{_BASIC} RECURSIVE_CTE FULL_TEXT_SEARCH UPSERT", "MEDIUMINT,ENUM,SET,TINYTEXT,MEDIUMTEXT,LONGTEXT,TINYBLOB,MEDIUMBLOB,LONGBLOB,YEAR,JSON,GEOMETRY,POINT,LINESTRING,POLYGON", "AUTO_INCREMENT DATABASES DELAYED DIV DUAL EXPLAIN FORCE FULLTEXT HIGH_PRIORITY IGNORE INTERVAL KEYS KILL LOAD LOCK LOW_PRIORITY MOD REGEXP RENAME REPLACE RLIKE SCHEMAS SHOW SPATIAL STRAIGHT_JOIN TRIGGER UNSIGNED USE XOR ZEROFILL", double_quoted_strings=True, backslash_escapes=True),
-    "postgresql": _make("PostgreSQL", '""', f"{_BASIC} ARRAY RECURSIVE_CTE PARTITIONING FULL_TEXT_SEARCH XML UPSERT RETURNING", "SERIAL,BIGSERIAL,SMALLSERIAL,BYTEA,INET,CIDR,MACADDR,MACADDR8,UUID,XML,JSON,JSONB,ARRAY,HSTORE,LTREE,CUBE,ISN,TSQUERY,TSVECTOR,TXID_SNAPSHOT,INT4RANGE,INT8RANGE,NUMRANGE,TSRANGE,TSTZRANGE,DATERANGE,MONEY,PG_LSN,PG_SNAPSHOT,INTERVAL,TIME WITH TIME ZONE,TIMESTAMP WITH TIME ZONE,POINT,LINE,LSEG,BOX,PATH,POLYGON,CIRCLE", "ANALYSE ANALYZE ANY ARRAY ASYMMETRIC AUTHORIZATION BOTH CAST COLLATE CONCURRENTLY EXCEPT FETCH FOR FREEZE GRANT ILIKE INTERSECT LATERAL LEADING NATURAL OFFSET ONLY OVERLAPS RETURNING SIMILAR SOME SYMMETRIC TABLESAMPLE TRAILING USER VARIADIC VERBOSE WINDOW", dollar_quotes=True),
+    "mysql": _make("MySQL", "``", f"{_BASIC} RECURSIVE_CTE FULL_TEXT_SEARCH UPSERT", "MEDIUMINT,ENUM,SET,TINYTEXT,MEDIUMTEXT,LONGTEXT,TINYBLOB,MEDIUMBLOB,LONGBLOB,YEAR,JSON,GEOMETRY,POINT,LINESTRING,POLYGON", _MYSQL_RESERVED, base=[w for w in COMMON_RESERVED if w not in ("END", "FULL", "VIEW")], double_quoted_strings=True, backslash_escapes=True),
+    "postgresql": _make("PostgreSQL", '""', f"{_BASIC} ARRAY RECURSIVE_CTE PARTITIONING FULL_TEXT_SEARCH XML UPSERT RETURNING", "SERIAL,BIGSERIAL,SMALLSERIAL,BYTEA,INET,CIDR,MACADDR,MACADDR8,UUID,XML,JSON,JSONB,ARRAY,HSTORE,LTREE,CUBE,ISN,TSQUERY,TSVECTOR,TXID_SNAPSHOT,INT4RANGE,INT8RANGE,NUMRANGE,TSRANGE,TSTZRANGE,DATERANGE,MONEY,PG_LSN,PG_SNAPSHOT,INTERVAL,TIME WITH TIME ZONE,TIMESTAMP WITH TIME ZONE,POINT,LINE,LSEG,BOX,PATH,POLYGON,CIRCLE", _POSTGRESQL_RESERVED, base=(), dollar_quotes=True),
     "sqlserver": _make("SQL Server", "[]", f"{_BASIC} XML UPSERT", "UNIQUEIDENTIFIER,MONEY,SMALLMONEY,DATETIME2,DATETIMEOFFSET,SMALLDATETIME,NTEXT,IMAGE,HIERARCHYID,GEOGRAPHY,GEOMETRY,SQL_VARIANT", "APPLY DELETED FETCH IDENTITY INSERTED MATCHED MERGE NEXT NOLOCK NTEXT OFFSET ONLY OUTPUT PAGLOCK PIVOT ROWLOCK ROWS SERIALIZABLE TABLOCK TOP UNPIVOT UPDLOCK XLOCK", "SQLServer"),
     "sqlite": _make("SQLite", '""', f"{_BASIC} RECURSIVE_CTE FULL_TEXT_SEARCH UPSERT", "NONE", "ABORT ANALYZE ATTACH AUTOINCREMENT CONFLICT DETACH FAIL GENERATED GLOB IGNORE ISNULL MATCH NOTNULL PRAGMA REGEXP REPLACE ROLLBACK ROWID STORED STRICT TEMP TEMPORARY VACUUM VIRTUAL WITHOUT"),
     "oracle": _make("Oracle", '""', "CTE WINDOW_FUNCTIONS RECURSIVE_CTE PARTITIONING FULL_TEXT_SEARCH XML", "NUMBER,VARCHAR2,NVARCHAR2,CLOB,NCLOB,LONG,LONG RAW,RAW,ROWID,UROWID,TIMESTAMP WITH TIME ZONE,TIMESTAMP WITH LOCAL TIME ZONE,INTERVAL YEAR TO MONTH,INTERVAL DAY TO SECOND,XMLTYPE,URITYPE,BFILE,BINARY_FLOAT,BINARY_DOUBLE", "CACHE COMPRESS CONNECT DEFERRABLE DISABLE DUAL ENABLE FLASHBACK LOGGING NOCYCLE NOLOGGING PARALLEL PARTITION PIVOT PRIOR PURGE ROWID ROWNUM SIBLINGS START SYSDATE SYSTIMESTAMP UNPIVOT XMLELEMENT", "Oracle"),
@@ -63,6 +89,11 @@ def get(name: str | None) -> Dialect:
     return DIALECTS.get(ALIASES.get(key, key), DIALECTS[DEFAULT])
 
 
+def reserved_words(spark: SparkSession) -> DataFrame:
+    """(dialect, word) of every reserved word, for semi-joins with names."""
+    return spark.createDataFrame([(k, w) for k, d in DIALECTS.items() for w in sorted(d.reserved)], "dialect string, word string")
+
+
 def spark_type(name: str, length: int | None = None, precision: int | None = None, scale: int | None = None) -> str:
     n = name.upper()
     if n in ("VARCHAR", "CHAR") and length:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from quarry.operators import scripts
 from quarry.plans import analysis, explain, validate
 from quarry.session import load_tables, table
 from quarry.sources import logs, schema_files
+from quarry.sources.shared import scratch_folder
 from quarry.streaming import alerts, monitor
 
 LOG = (
@@ -188,11 +188,9 @@ def plan_spark(spark: SparkSession, d: str) -> DataFrame:
 def _stream(spark: SparkSession, d: str, build, mode: str) -> DataFrame:
     """All that a streaming query over ``events`` gives for its files: run once; each batch's whole result (mode
     ``complete``) replaces the last one's in the shared folder, from which it is read back."""
-    from quarry.sources.shared import checkpoint_folder
-
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet*")
     stream = source.parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else d)
-    folder = f"{checkpoint_folder(spark)}/stream_{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     result = build(stream.withColumn("ts", F.col("ts").cast("timestamp")))
     writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
     store = lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/result")

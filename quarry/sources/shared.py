@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +15,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not folder and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder or "/tmp/checkpoints/quarry"
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path inside the shared one; what is there is removed when the driver ends."""
+    folder = f"{checkpoint_folder(spark)}/{name}_{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

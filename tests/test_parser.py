@@ -96,3 +96,30 @@ def test_dialects():
 def test_shim():
     assert shim.to_spark("SELECT TOP 3 [a] FROM (SELECT TOP 2 b FROM t) x", "sqlserver") == "SELECT `a` FROM ( SELECT b FROM t LIMIT 2 ) x LIMIT 3"
     assert shim.to_spark("SELECT a FROM t OFFSET 2 ROWS FETCH NEXT 5 ROWS ONLY", "sqlserver") == "SELECT a FROM t LIMIT 5 OFFSET 2"
+
+
+@pytest.mark.parametrize(
+    ("dialect", "sql", "kind"),
+    [
+        ("oracle", "CREATE FUNCTION f(a IN NUMBER, b IN OUT NUMBER) RETURN NUMBER IS c NUMBER := 1; BEGIN c := a * 2; RETURN c; END f;", "create function"),
+        ("oracle", "CREATE OR REPLACE FUNCTION f RETURN VARCHAR2 AS BEGIN RETURN 'x'; END;", "create function"),
+        ("postgresql", "DO $$ DECLARE x INT; BEGIN x := 1; END; $$ LANGUAGE plpgsql", "do"),
+        ("oracle", "SELECT id, LEVEL FROM t START WITH up IS NULL CONNECT BY NOCYCLE PRIOR id = up ORDER SIBLINGS BY id", "select"),
+        ("sqlserver", "RAISERROR('no', 16, 1)", "raiserror"),
+    ],
+)
+def test_routines_blocks_and_hierarchies(dialect, sql, kind):
+    assert parse(sql, dialect).kind == kind
+
+
+def test_words_of_hierarchies_stay_names():
+    assert parse("SELECT a start FROM t connect WHERE prior = 1", "mysql").kind == "select"
+    assert parse("SELECT start.a FROM t start WHERE start.prior = 1", "oracle").kind == "select"
+
+
+def test_trigger_body_ends_with_its_block():
+    text = "CREATE TRIGGER g AFTER INSERT ON t FOR EACH ROW BEGIN IF 1 = 1 THEN UPDATE t SET a = CASE WHEN a > 1 THEN 2 END; END IF; END; SELECT 1 FROM u;"
+    found = parse_script(text, "mysql")
+    assert [n.kind for n in found] == ["create trigger", "select"] and found[0].attrs["body"].startswith("BEGIN IF") and found[0].attrs["body"].endswith("END IF; END")
+    one = parse_script("CREATE TRIGGER g BEFORE DELETE ON t FOR EACH ROW SET @n = 1; SELECT 2", "mysql")
+    assert one[0].attrs["body"] == "SET @n = 1" and one[1].kind == "select"
