@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 #: Bins that one interval stands in at most (but for one more at its end), and the growth of bins from level to level.
 BINS = 64
 
+#: Keys that are joined in parts at most.
+HOT_KEYS = 1000
+
 
 def range_join(left: DataFrame, right: DataFrame, value: Column, low: Column, high: Column, width: float) -> DataFrame:
     """Pairs with low <= value <= high. Values and intervals (inclusive) are cut into bins; an interval stands in each
@@ -72,14 +75,39 @@ def as_of(
     return met.select("_l.*", *(F.col(f"_m.{c}").alias(c) for c in columns))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """An inner or left join for keys that are hot on the left: left rows are dealt to ``salts`` parts of a key, and
-    the right side is repeated for each."""
+def _hot(left: DataFrame, on: str, least: int) -> DataFrame | None:
+    """The keys with ``least`` left rows or more, of which the ``HOT_KEYS`` most frequent, as a table of one column."""
+    counts = left.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    found = counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(on)
+    keys, spark = found._jdf.collectAsList(), left.sparkSession  # not through Python or Arrow, which lack some types
+    return DataFrame(spark._jsparkSession.createDataFrame(keys, found._jdf.schema()), spark) if keys.size() else None
+
+
+def _dealt(left: DataFrame, right: DataFrame, on: str, hot: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``: left rows of hot keys (and of null, which meets nothing) by their hash, right rows of
+    hot keys once for each salt, all others 0."""
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    by_hash = F.pmod(F.xxhash64(*(F.col(c) for c in left.columns)), F.lit(salts)).cast("int")
+    a = left.join(marked, on, "left").withColumn("_salt", F.when(F.col("_hot") | F.col(on).isNull(), by_hash).otherwise(F.lit(0)))
+    every, first = F.array(*map(F.lit, range(salts))), F.array(F.lit(0))
+    b = right.join(marked, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(first)))
+    return a.drop("_hot"), b.drop("_hot")
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = 16, how: str = "inner", least: int = 10_000) -> DataFrame:
+    """An inner or left join for keys that are hot on the left: left rows of a hot key are dealt to ``salts`` parts, and
+    only that key's right rows are repeated for each. Other keys are joined as they are.
+
+    Keys with ``least`` left rows or more are hot, at most ``HOT_KEYS`` of them; they are found first, so the left side
+    is read twice. A key that isn't among them has under ``least`` rows or under a ``HOT_KEYS``-th of all. Both
+    sides are shuffled and sorted, never broadcast: Spark's estimate of a side's size doesn't see repeated rows."""
     if how not in ("inner", "left"):
         raise ValueError(how)
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    b = right.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(salts)))))
-    return a.join(b, [on, "_salt"], how).drop("_salt")
+    hot = _hot(left.where(F.col(on).isNotNull()) if how == "inner" else left, on, least)
+    if hot is None:
+        return left.join(right.hint("merge"), on, how)
+    a, b = _dealt(left, right, on, hot, salts)
+    return a.join(b.hint("merge"), [on, "_salt"], how).drop("_salt")
 
 
 def top_percent(df: DataFrame, percent: float, order_by: Sequence[Column | str]) -> DataFrame:

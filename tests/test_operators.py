@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,45 @@ def test_range_join_takes_wide_intervals_to_wider_bins(spark):
     assert joins.range_join(a, b.limit(0), F.col("v"), F.col("lo"), F.col("hi"), 1.0).count() == 0
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salted_join_broadcasts_no_side(spark):
+    left, right = spark.range(400).selectExpr("id % 50 AS k", "id"), spark.range(500).selectExpr("id AS k", "id * 2 AS v")
+    got = joins.salted_join(left, right, "k")
+    assert rows(got.select("k", "id", "v")) == rows(left.join(right, "k").select("k", "id", "v"))
+    plan = _plan(got)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Generate" not in plan
+
+
+def test_salted_join_repeats_only_hot_keys(spark):
+    left = spark.range(400).selectExpr("IF(id < 300, 7, id) AS k", "id")
+    right = spark.range(500).selectExpr("id AS k", "id * 2 AS v")
+    hot = joins._hot(left, "k", 100)
+    assert rows(hot) == [(7,)]
+    a, b = joins._dealt(left, right, "k", hot, 16)
+    assert a.count() == 400 and b.count() == 500 + 15 and a.where("k = 7").select("_salt").distinct().count() == 16
+    plan = _plan(joins.salted_join(left, right, "k", least=100))
+    assert "SortMergeJoin" in plan and not re.search("BroadcastHashJoin.*Inner", plan)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize(("here", "there"), [("long", "int"), ("int", "long"), ("string", "string"), ("double", "double"), ("timestamp", "timestamp"), ("decimal(9,2)", "decimal(12,2)"), ("date", "date"), ("interval month", "interval month")])
+def test_salted_join_equals_a_plain_one(spark, how, here, there):
+    """Nulls, zeros of both signs, NaN, copies on both sides, keys of one side only, and keys of two types."""
+    of = lambda n, kind: f"CAST({n} AS {kind})" if kind != "date" else f"date_add(DATE'2024-03-30', CAST({n} AS int))"
+    key = lambda n, kind, zero: f"CASE WHEN {n} = 0 THEN CAST({zero} AS double) WHEN {n} = 1 THEN double('NaN') ELSE CAST({n} AS double) END" if kind == "double" else of(n, kind)
+    left = spark.range(300).selectExpr(f"CASE WHEN id % 5 = 0 THEN NULL WHEN id < 150 THEN {key('id % 2', here, '-0.0D')} ELSE {key('id % 40', here, '0.0D')} END AS k", "id % 100 AS a")
+    right = spark.range(60).selectExpr(f"CASE WHEN id % 9 = 8 THEN NULL ELSE {key('id % 30', there, '0.0D')} END AS k", "id AS b")
+    want = left.join(right, "k", how)
+    for least in (1, 10_000):
+        got = joins.salted_join(left, right, "k", 4, how, least)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        ours, theirs = (df.withColumn("k", F.col("k").cast("string")).collect() for df in (got, want))
+        assert sorted(map(str, ours)) == sorted(map(str, theirs))
+
+
 @pytest.mark.parametrize("kind", ["double", "timestamp", "timestamp_ntz", "int"])
 def test_as_of_is_the_same_in_buckets(spark, kind):
     at = f"CAST(CAST({{}} AS TIMESTAMP) AS {kind})" if kind.startswith("timestamp") else f"CAST({{}} AS {kind})"
